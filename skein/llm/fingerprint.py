@@ -116,3 +116,35 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
     )
+
+
+def _sql_digests(parts: str) -> str:
+    return f"array_to_string(list_transform({parts}, lambda p: substr(md5(p), 1, 6)), '')"
+
+
+def _sql_print(t: str) -> str:
+    pars = f"string_split({t}, chr(10))"
+    secs = f"list_transform(range(0, CAST(floor((len({pars}) - 1) / 16) AS BIGINT) + 1), lambda i: array_to_string({pars}[i * 16 + 1 : i * 16 + 16], chr(10)))"
+    groups = f"string_split(regexp_replace({t}, '((?:[^ \\n]+ ){{8}}|\\n)', '\\1' || chr(1), 'g'), chr(1))"
+    fine = f"CASE WHEN length({t}) <= 1024 THEN {_sql_digests(f"string_split_regex({t}, '[ \\n]')")} ELSE '' END"
+    return f"md5({t}) || '|' || {_sql_digests(secs)} || '|' || {_sql_digests(pars)} || '|' || {_sql_digests(groups)} || '|' || {fine}"
+
+
+def _sql_near(x: str, y: str) -> str:
+    level = lambda f, i: f"list_transform(range(0, CAST(length(string_split({f}, '|')[{i}]) / 6 AS BIGINT)), lambda k: substr(string_split({f}, '|')[{i}], k * 6 + 1, 6))"
+    aligned = lambda a, b: f"len(list_filter(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[k] = {b}[k])) / greatest(len({a}), len({b}), 1)"
+    a, b, f, g = level(x, 4), level(y, 4), level(x, 5), level(y, 5)
+    shared = f"len(list_intersect({a}, {b})) / greatest(len(list_distinct({a})), len(list_distinct({b})), 1)"
+    fine = f"CASE WHEN len({f}) > 0 AND len({g}) > 0 THEN {aligned(f, g)} ELSE 0.0 END"
+    return f"CASE WHEN substr({x}, 1, 32) = substr({y}, 1, 32) THEN 1.0 ELSE least(greatest(CAST({aligned(a, b)} AS DOUBLE), CAST({shared} AS DOUBLE), CAST({fine} AS DOUBLE)), 0.999) END"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(nxt, 1, length(text) // 3) AS edited FROM n),
+f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_sql_print('text')} AS fingerprint, {_sql_print('edited')} AS edited_fingerprint, {_sql_print('nxt')} AS nf FROM e)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CAST({_sql_near('fingerprint', 'edited_fingerprint')} AS DOUBLE) AS near_edited, CAST({_sql_near('fingerprint', 'nf')} AS DOUBLE) AS near_next
+FROM f
+"""
