@@ -88,10 +88,11 @@ def profile(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cid", "n", "sketch"])
 
 
-def children(nodes: np.ndarray, tokens: np.ndarray, repeats: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(record, child) for records in nodes: positions chosen by a hash of node, repeat and position."""
+def children(nodes: np.ndarray, tokens: np.ndarray, repeats: int, similarity: float, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(record, child) for records in nodes: positions chosen by a hash of node, repeat and position, ``share`` times as
+    often as a pair at the threshold needs to share one child a repeat."""
     rows, out = [], []
-    bar = np.uint64(int(2**64 / (similarity * COORDINATES)))
+    bar = np.uint64(int(2**64 * share / (similarity * COORDINATES)))
     place = np.arange(COORDINATES, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for r in range(repeats):
@@ -102,11 +103,11 @@ def children(nodes: np.ndarray, tokens: np.ndarray, repeats: int, similarity: fl
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _branches(nodes: pd.Series, sketches: pd.Series, repeats: int, similarity: float) -> pd.Series:
+def _branches(nodes: pd.Series, sketches: pd.Series, repeats: int, similarity: float, share: float) -> pd.Series:
     tokens = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, COORDINATES)
     rows, out = [], []
     for a in range(0, len(tokens), 1024):
-        r, c = children(nodes.to_numpy(np.int64)[a : a + 1024].view(np.uint64), tokens[a : a + 1024], repeats, similarity)
+        r, c = children(nodes.to_numpy(np.int64)[a : a + 1024].view(np.uint64), tokens[a : a + 1024], repeats, similarity, share)
         rows.append(r + a), out.append(c)
     order = np.argsort(np.concatenate(rows), kind="stable") if rows else np.zeros(0, int)
     row, child = np.concatenate(rows)[order], np.concatenate(out)[order].view(np.int64)
@@ -268,25 +269,31 @@ def candidates(classes: DataFrame, similarity: float, recall: float, bucket: int
     runs = max(1, math.ceil(-math.log(1 - recall)))
     slack = similarity - 4.3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
     least = math.floor(slack * COORDINATES)
-    branch = lambda k: F.pandas_udf(lambda nodes, sketches: _branches(nodes, sketches, k, similarity), "array<long>")
+    branch = lambda k, share: F.pandas_udf(lambda nodes, sketches: _branches(nodes, sketches, k, similarity, share), "array<long>")
     star = lambda df: df.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInPandas(lambda b: _compare(b, least, similarity), "u binary, v binary")
     zero = F.lit(0).cast("long")
     own = classes.where(F.col("sketch").isNotNull()).select("cid", "n", "small", "sketch")
-    level = own.select("cid", F.explode(branch(runs)(zero, F.col("sketch"))).alias("node"))
+    level = own.select("cid", F.col("cid").alias("star"), F.explode(branch(runs, 1.0)(zero, F.col("sketch"))).alias("node"))
     edges = []
     for d in range(depth):
         level = cut(level)
-        sizes = cut(level.groupBy("node").count().where("count > 1"))
+        # A bucket of which all have matched one leader before is connected already.
+        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.min("star").alias("lo"), F.max("star").alias("hi"))
+        sizes = cut(sizes.where("count > 1 AND lo != hi").select("node", "count"))
         held = level.join(sizes, "node")
         leaves = held.where(F.col("count") <= bucket).join(own.drop("sketch"), "cid").select("node", zero.alias("x"), zero.alias("y"), "cid", "n", "small")
         edges.append(cut(star(leaves)))
         if sizes.where(F.col("count") > bucket).isEmpty():
             break
-        heavy = cut(held.where(F.col("count") > bucket).join(own, "cid").select("node", "count", "cid", "n", "small", "sketch"))
+        heavy = held.where(F.col("count") > bucket).join(own.drop("sketch"), "cid").select("node", "count", "cid", "star", "n", "small")
         lead = heavy.groupBy("node").agg(F.min(F.struct("cid", "n", "small")).alias("lead"))
-        edges.append(cut(heavy.join(lead, "node").where(_near(least, similarity)(F.col("small"), F.col("lead.small"), F.col("n"), F.col("lead.n"))).select(F.col("lead.cid").alias("u"), F.col("cid").alias("v"))))
+        met = _near(least, similarity)(F.col("small"), F.col("lead.small"), F.col("n"), F.col("lead.n"))
+        heavy = cut(heavy.join(lead, "node").select("node", "count", "cid", "n", "small", F.col("lead.cid").alias("lead"), met.alias("met")))
+        edges.append(heavy.where("met").select(F.col("lead").alias("u"), F.col("cid").alias("v")))
+        open_ = heavy.groupBy("node").agg(F.min("met").alias("all")).where("NOT all").select("node")
+        heavy = heavy.join(open_, "node").withColumn("star", F.when(F.col("met"), F.col("lead")).otherwise(F.col("cid")))
         if d + 1 < depth:
-            level = heavy.select("cid", F.explode(branch(3)(F.col("node"), F.col("sketch"))).alias("node"))
+            level = heavy.join(own.select("cid", "sketch"), "cid").select("cid", "star", F.explode(branch(1, 1.5)(F.col("node"), F.col("sketch"))).alias("node"))
             continue
         # The last level: buckets that are not connected yet, in pairs of blocks.
         known = components(_union(edges))
@@ -313,7 +320,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 128, depth: int = 4, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 256, depth: int = 4, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, a, b (digests of its text), class_id (least id of its group), n_links (other rows of the
     wanted similarity, copies included), n_text_links (other distinct sets of that similarity), n_copies (rows of the same set)."""
     t = text_or_empty(text_col)
