@@ -72,14 +72,14 @@ def edited_branches(x: Column, y: Column) -> Column:
 _BITS = 12
 
 
-def next_lower(ids: DataFrame, top: int | None = None) -> DataFrame:
+def next_lower(ids: DataFrame) -> DataFrame:
     """(k, lower) for distinct non-null longs in column k: the next lower value, null for the lowest. Windows hold at most
-    2^12 values: inside blocks of the number range, then between blocks by the same rule on the block numbers."""
+    2^12 values: all of them where there are no more, else inside blocks of the number range, then between blocks by the same rule."""
+    if ids.limit((1 << _BITS) + 1).count() <= 1 << _BITS:
+        return ids.select("k", F.lag("k").over(Window.orderBy("k")).alias("lower"))
     block = F.shiftright("k", _BITS)
     inner = ids.select("k", block.alias("b")).withColumn("lower", F.lag("k").over(Window.partitionBy("b").orderBy("k")))
     tops = cut(ids.groupBy(block.alias("k")).agg(F.max("k").alias("most")))
-    if tops.limit(2).count() < 2:
-        return inner.select("k", "lower")
     below = next_lower(tops.select("k")).join(tops.select(F.col("k").alias("lower"), F.col("most")), "lower").select(F.col("k").alias("b"), "most")
     return inner.join(broadcast_if_small(below), "b", "left").select("k", F.coalesce("lower", "most").alias("lower"))
 
