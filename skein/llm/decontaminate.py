@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import bounded_batches, cut, table, text_or_empty
 
 #: Words: runs of digits, letters and anything beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -179,6 +179,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
 
     One automaton of at most ``block_words`` item words is broadcast; a larger benchmark is streamed in several
     passes over the documents, whose hits are united per document."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     blocks = iter(automata(benchmark, window, item_id, item_text, block_words))
 

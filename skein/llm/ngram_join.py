@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_or_empty
+from .common import bounded_batches, broadcast_if_small, cut, table, text_or_empty
 from .decontaminate import words_of
 
 WORDS, SIMILARITY, COORDINATES = 5, 0.8, 128
@@ -47,7 +47,7 @@ _SHIFTS = mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return got
@@ -320,9 +320,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 256, depth: int = 4, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 256, depth: int = 4, block: int = 800, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, a, b (digests of its text), class_id (least id of its group), n_links (other rows of the
     wanted similarity, copies included), n_text_links (other distinct sets of that similarity), n_copies (rows of the same set)."""
+    bounded_batches(docs.sparkSession)
     t = text_or_empty(text_col)
     digest = [F.xxhash64(t).alias("a"), F.xxhash64(F.lit("k"), t).alias("b")]
     low_bytes = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.frombuffer(x, np.uint32).astype(np.uint8).tobytes()), "binary")

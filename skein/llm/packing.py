@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import bounded_batches, cut, table, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
 
@@ -37,7 +37,7 @@ class Encoder(dict):
     Before a single blank that stands between two other characters, and around a single line end, the
     pre-tokenizer always cuts, so the parts can be encoded apart. Any other spacing is encoded as a whole."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 100_000):
         import tiktoken
 
         super().__init__()
@@ -87,6 +87,7 @@ def pieces_of(ids: bytes, capacity: int) -> list[dict]:
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
     """The rows of docs times their pieces: piece, start, length, ids_crc32 in column ``_p``."""
 
+    bounded_batches(docs.sparkSession)
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def split(texts: pd.Series) -> pd.Series:
         enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()

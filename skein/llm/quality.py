@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bounded_batches, table, text_or_empty
 
 N_STATS = 18
 
@@ -105,6 +105,7 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = 192, width: float = 3.0, ridge: float = 1e-3, bins: int = 400, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Folds 1-3 fit the ridge, fold 4 calibrates, fold 0 is never read."""
+    bounded_batches(docs.sparkSession)
     model = Model(features, width, seed)
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), fold(id_col).alias("_fold"), F.pandas_udf(_stats, "array<double>")(text_or_empty(text_col)).alias("_x")).where("_fold > 0")
