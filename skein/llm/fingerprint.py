@@ -36,10 +36,12 @@ def fingerprint(text: Column) -> Column:
 
 
 def _level(fp: Column, i: int) -> Column:
-    hexes = F.element_at(F.split(fp, r"\|", -1), i)
-    return F.when(F.length(hexes) == 0, F.expr("cast(array() as array<string>)")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor(F.length(hexes) / WIDTH).cast("int") - 1), lambda k: F.substr(hexes, k * WIDTH + 1, F.lit(WIDTH)))
-    )
+    return F.regexp_extract_all(F.element_at(F.split(fp, r"\|", -1), i), F.lit(f".{{{WIDTH}}}"), F.lit(0))
+
+
+def branches(fp: Column) -> Column:
+    """The parts of a fingerprint that are compared. Put it in a column of its own before ``likeness``, so that it is read once."""
+    return F.struct(F.substring(fp, 1, ROOT).alias("root"), _level(fp, 4).alias("leaves"), _level(fp, 5).alias("fine"))
 
 
 def _aligned(a: Column, b: Column) -> Column:
@@ -55,11 +57,10 @@ def _shared(a: Column, b: Column) -> Column:
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """1 for equal roots, else the best of: leaves at the same path, fine leaves at the same path, leaves anywhere."""
-    ax, ay, fx, fy = _level(x, 4), _level(y, 4), _level(x, 5), _level(y, 5)
-    fine = F.when((F.size(fx) > 0) & (F.size(fy) > 0), _aligned(fx, fy)).otherwise(0.0)
-    near = F.greatest(_aligned(ax, ay), _shared(ax, ay), fine)
-    return F.when(F.substring(x, 1, ROOT) == F.substring(y, 1, ROOT), F.lit(1.0)).otherwise(F.least(near, F.lit(0.999)))
+    """Of two ``branches``: 1 for equal roots, else the best of leaves at the same path, fine leaves at the same path, leaves anywhere."""
+    fine = F.when((F.size(x["fine"]) > 0) & (F.size(y["fine"]) > 0), _aligned(x["fine"], y["fine"])).otherwise(0.0)
+    near = F.greatest(_aligned(x["leaves"], y["leaves"]), _shared(x["leaves"], y["leaves"]), fine)
+    return F.when(x["root"] == y["root"], F.lit(1.0)).otherwise(F.least(near, F.lit(0.999)))
 
 
 def edited_branches(x: Column, y: Column) -> Column:
@@ -112,9 +113,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - m), F.substr(F.col("next.text"), F.lit(1), m))
     rows = rows.withColumn("_edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
+    rows = rows.withColumns({"_x": branches(F.col("fingerprint")), "_y": branches(F.col("edited_fingerprint")), "_z": branches(F.col("next.fingerprint"))})
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        likeness(F.col("_x"), F.col("_y")).alias("near_edited"), likeness(F.col("_x"), F.col("_z")).alias("near_next"),
     )
 
 
