@@ -78,7 +78,7 @@ def authority(filename: Column) -> Column:
 
 
 def freshness(age_days: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.1), 1 - age_days / 365), F.lit(0.5))
+    return F.when(age_days.isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), 1 - age_days / 365))
 
 
 def agreement(rows: DataFrame, by: str = "query_id") -> DataFrame:
