@@ -34,7 +34,7 @@ def statistics(texts) -> np.ndarray:
         lines = text.split("\n")
         k = max(1, len(words))
         distinct = len(set(words))
-        lone = sum(1 for w in words if not w[:1].isalpha()) if k < 50_000 else sum(1 for w in words if w[0] < "A")
+        lone = sum(1 for w in words if not w[0].isalpha())
         tails = sum(1 for w in words if w[-1] in "!#$%&*|~^")
         out[i] = (
             c[0], c[1], c[2], c[3], c[4], c[5], c[6],
