@@ -1,10 +1,10 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give protected values away.
 
-A protected value is a base finding. A context is a distinct line that holds one. For a term t and a value e,
-the corpus gives n(e, t) contexts with both, n(t) distinct lines with t (over all documents) and n(e) contexts with e;
-t discloses e with log2(P(e | t) / P(e)) bits. A term that is seen with e in ``least_contexts`` or more, with P(e | t) of
-``share`` or more and ``bits`` or more, is a finding of kind ``term`` wherever it stands; it is generalised or removed.
-DataFrame functions only.
+A protected value is a base finding. Its contexts are the distinct lines at most ``reach`` lines away from it in some document,
+its own line included. For a term t and a value e, the corpus gives n(e, t) contexts of e with t, n(t) distinct lines with t
+(over all documents) and n(e) contexts of e; P(e | t) = (n(e, t) + w P(e)) / (n(t) + w), smoothed by the weight w of a
+``prior``, and t discloses e with log2(P(e | t) / P(e)) bits. A term with P(e | t) of ``share`` or more and ``bits`` or more is a
+finding of kind ``term`` wherever it stands; it is generalised or removed. DataFrame functions only.
 
 Defined results: null text counts as empty and has no spans; equal rows give equal results; spans count code points, end exclusive.
 Base patterns look back to where a run begins and are possessive, so that very long runs cost linear time; they match as the plain ones do.
@@ -34,6 +34,8 @@ HINTS = {
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+#: Characters of a term.
+_TERM = r"\p{L}\p{M}\p{N}"
 _none = lambda: F.expr(f"cast(array() as {_SPAN})")
 
 
@@ -82,37 +84,57 @@ def base_spans(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case words of three or more letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-
-
-def disclosing_terms(found: DataFrame, least_contexts: int = 3, share: float = 0.8, bits: float = 4.0) -> DataFrame:
-    """(term, value, bits) from rows with _text and _base. Pairs are counted over distinct lines, so copies count once;
-    a line's terms meet its values only, and only terms with enough contexts are counted over the whole corpus."""
-    lines = found.where(F.size("_base") > 0).select(F.explode(F.split("_text", "\n")).alias("l"))
-    held = F.array_distinct(F.transform(base_spans(F.col("l")), lambda s: F.lower(s["value"])))
-    lines = cut(lines.distinct().select(F.xxhash64("l").alias("h"), "l", held.alias("values")).where(F.size("values") > 0))
-    values = lines.select("h", F.explode("values").alias("value"))
-    clean = F.aggregate("values", F.lower("l"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    pairs = lines.select("values", terms(clean).alias("terms")).select(F.explode("values").alias("value"), "terms").select("value", F.explode("terms").alias("term"))
-    pairs = cut(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_contexts))
+    """Distinct lower-case runs of letters, marks and digits, of any length."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), rf"[^{_TERM}]+"), lambda w: w != ""))
+
+
+def _held(line: Column) -> Column:
+    return F.array_distinct(F.transform(base_spans(line), lambda s: F.lower(s["value"])))
+
+
+def _clean_terms(line: Column, values: Column) -> Column:
+    """Terms of a line without its own values."""
+    return terms(F.aggregate(values, F.lower(line), lambda a, v: F.replace(a, v, F.lit(" "))))
+
+
+def disclosing_terms(found: DataFrame, share: float = 0.8, bits: float = 4.0, reach: int = 3, prior: float = 0.5) -> DataFrame:
+    """(term, value, bits) from rows with _text and _base. Pairs are counted over distinct lines, so copies count once. Only terms
+    that would pass if they stood nowhere but beside values are counted over the whole corpus, so common words are not."""
+    n = found.agg(F.coalesce(F.sum(F.size(F.split("_text", "\n"))), F.lit(0)).alias("n")).first()["n"]
+    smooth = lambda both, n_t, n_e: (both + prior * n_e / n) / (n_t + prior)
+    lines = found.where(F.size("_base") > 0).select(F.split("_text", "\n").alias("ls"))
+    lines = lines.withColumn("vs", F.transform("ls", _held))
+    near = lambda i: F.array_distinct(F.flatten(F.slice("vs", F.greatest(i - reach, F.lit(0)) + 1, i - F.greatest(i - reach, F.lit(0)) + reach + 1)))
+    each = F.transform("ls", lambda l, i: F.struct(l.alias("l"), F.element_at("vs", i + 1).alias("own"), near(i).alias("values")))
+    lines = lines.select(F.explode(F.filter(each, lambda x: F.size(x["values"]) > 0)).alias("x"))
+    lines = lines.select(F.xxhash64("x.l").alias("h"), "x.values", _clean_terms(F.col("x.l"), F.col("x.own")).alias("terms"))
+    lines = cut(lines.groupBy("h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("values")))).alias("values"), F.first("terms").alias("terms")))
+    n_e = cut(lines.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n_e")))
+    most = n_e.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    # No pair has more contexts than the value or the term has; P(e) is at most 2^-bits where the bits suffice.
+    could = lambda both, n_t: (both + prior * 2.0**-bits) / (n_t + prior) >= share
+    m_t = lines.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("m_t"))
+    m_t = cut(m_t.where(could(F.least("m_t", F.lit(most)), F.col("m_t"))))
+    pairs = lines.select(F.explode("values").alias("value"), "terms").join(broadcast_if_small(n_e), "value")
+    pairs = pairs.select("value", "n_e", F.explode("terms").alias("term")).join(broadcast_if_small(m_t), "term").where(could(F.least("n_e", "m_t"), F.col("m_t")))
+    pairs = pairs.groupBy("value", "term", "n_e", "m_t").agg(F.count("*").alias("both"))
+    pairs = cut(pairs.where(could(F.col("both"), F.col("m_t"))).drop("m_t"))
     wanted = cut(pairs.select("term").distinct())
     if wanted.isEmpty():
         return wanted.select("term", F.lit("").alias("value"), F.lit(0.0).alias("bits")).where("false")
-    every = found.select(F.explode(F.split("_text", "\n")).alias("l")).select(F.xxhash64("l").alias("h"), F.explode(terms(F.col("l"))).alias("term"))
+    every = found.select(F.explode(F.split("_text", "\n")).alias("l"), (F.size("_base") > 0).alias("has"))
+    own = F.when(F.col("has"), _held(F.col("l"))).otherwise(F.expr("cast(array() as array<string>)"))
+    every = every.select(F.xxhash64("l").alias("h"), F.explode(_clean_terms(F.col("l"), own)).alias("term"))
     n_t = every.join(broadcast_if_small(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = values.groupBy("value").agg(F.count("*").alias("n_e"))
-    n = found.select(F.sum(F.size(F.split("_text", "\n"))).alias("n"))  # one row
-    got = pairs.join(n_t, "term").join(n_e, "value").crossJoin(F.broadcast(n))
-    p = F.col("both") / F.col("n_t")
-    return cut(got.withColumn("bits", F.log2(p * F.col("n") / F.col("n_e"))).where((p >= share) & (F.col("bits") >= bits)).select("term", "value", "bits"))
+    got = pairs.join(n_t, "term").withColumn("p", smooth(F.col("both"), F.col("n_t"), F.col("n_e")))
+    return cut(got.withColumn("bits", F.log2(F.col("p") * n / F.col("n_e"))).where((F.col("p") >= share) & (F.col("bits") >= bits)).select("term", "value", "bits"))
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii", least_contexts: int = 3, share: float = 0.8, bits: float = 4.0) -> DataFrame:
+def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii", share: float = 0.8, bits: float = 4.0, reach: int = 3, prior: float = 0.5) -> DataFrame:
     """Adds ``out``: array of (start, kind's place in KINDS, end, value), by start, then kind."""
     t = text_or_empty(text_col)
     found = docs.select(t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    terms_found = disclosing_terms(found, least_contexts, share, bits).select("term").distinct()
+    terms_found = disclosing_terms(found, share, bits, reach, prior).select("term").distinct()
     base = docs.withColumn("_base", base_spans(t))
     if terms_found.isEmpty():
         return base.withColumn(out, F.col("_base")).drop("_base")
@@ -120,7 +142,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii"
     where = docs.select(F.xxhash64(t).alias("_a"), F.xxhash64(F.lit("k"), t).alias("_b"), F.explode(terms(t)).alias("term")).join(named, "term", "left_semi").distinct()
     listed = cut(where.groupBy("_a", "_b").agg(F.sort_array(F.collect_set("term")).alias("_terms")))
     rows = base.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.xxhash64(F.lit("k"), t)).join(broadcast_if_small(listed), ["_a", "_b"], "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<![{_TERM}])(?:"), F.array_join("_terms", "|"), F.lit(rf")(?![{_TERM}])"))
     extra = F.when(F.col("_terms").isNotNull(), spans_of(t, pattern, 4, lambda m: F.lit(True))).otherwise(_none())
     free = F.filter(extra, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
     return rows.withColumn(out, F.array_sort(F.concat("_base", free))).drop("_a", "_b", "_terms", "_base")

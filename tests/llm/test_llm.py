@@ -185,6 +185,15 @@ def test_personal_data(spark, docs, empty):
     assert "Quorax" not in out[0] and "[EMAIL]" in out[0] and out[10] == lines[6][1]
 
 
+def test_terms_on_lines_beside_a_value(spark):
+    """Names and ids on the line beside a value, two of two lines; a word seen once with a value stays."""
+    records = [(0, "Name: Jo Quorax\nstaff K7431\nMail: q@z.org\nonce"), (1, "q@z.org\nby Jo Quorax\nid K7431 too")]
+    plain = [(10 + i, f"Name: {w}\nMail staff by id too") for i, w in enumerate(words(200, 8))]
+    d = spark.createDataFrame(records + plain, "doc_id long, text string")
+    got = {r["doc_id"]: {s["value"] for s in r["pii"] if s["kind"] == 4} for r in pii.find_personal_data(d).collect()}
+    assert got[0] == got[1] == {"Jo", "Quorax", "K7431"} and got[10] == set()
+
+
 def test_quality_learns_and_defaults(spark, docs, empty):
     d = spark.createDataFrame([(i, " ".join(words(40, i)) if i % 2 else " ".join(w.upper() + "!!" for w in words(40, i))) for i in range(400)], "doc_id long, text string")
     y = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
