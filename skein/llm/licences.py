@@ -1,5 +1,6 @@
-"""License scans by sentence rules: normalised sentences become identifiers of known licence sentences, and runs of
-identifiers are matched against ordered rules.
+"""License scans by sentence rules: known licence sentences are recognised over the normalised words of the text and become
+identifiers, and runs of identifiers are matched against ordered rules. A known sentence begins and ends where a fragment does
+(line ends, and blanks after sentence marks), but may go over any number of fragments, so wrapped lines and marks inside it do not matter.
 
 The dictionary is a small fixed table held as a literal; only texts that hold one of its trigger words are split.
 DataFrame functions only.
@@ -62,6 +63,9 @@ RULES = (
 #: Every known sentence holds one of these.
 TRIGGERS = ("licens", "permission", "warrant", "redistribut", "reserved")
 
+#: Any known sentence over normalised fragments, one a line; the longest first.
+KNOWN = "(?m)^(?:" + "|".join(s.replace(" ", r"(?: |\n+)") for s in sorted(SENTENCES, key=len, reverse=True)) + ")$"
+
 
 def normalised(sentences: Column) -> Column:
     return F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
@@ -72,13 +76,26 @@ def split_sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
 
 
+def _line_ends(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^\n]+", "")).cast("long")
+
+
 def find_licences(docs: DataFrame, text_col: str = "text", out: str = "licences") -> DataFrame:
     """Adds ``out``: struct of sentences (array of place, id, by place) and names (sorted, distinct) of the rules that match."""
     t = text_or_empty(text_col)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    places = F.transform(normalised(split_sentences(t)), lambda s, i: F.struct(i.cast("long").alias("place"), F.when(F.length(s) > 0, F.try_element_at(known, s)).alias("id")))
+    words = F.array_join(normalised(split_sentences(t)), "\n")
+
+    def step(acc, i):
+        m = F.element_at(acc["m"], i)
+        place = acc["place"] + _line_ends(F.element_at(acc["g"], i))
+        one = F.struct(place.alias("place"), F.element_at(known, F.regexp_replace(m, "\n+", " ")).alias("id"))
+        return F.struct((place + _line_ends(m)).alias("place"), acc["m"].alias("m"), acc["g"].alias("g"), F.concat(acc["out"], F.array(one)).alias("out"))
+
     empty = F.expr("cast(array() as array<struct<place:bigint,id:string>>)")
-    found = F.when(F.lower(t).rlike("|".join(TRIGGERS)), F.filter(places, lambda x: x["id"].isNotNull())).otherwise(empty)
+    start = F.struct(F.lit(0).cast("long").alias("place"), F.regexp_extract_all(words, F.lit(KNOWN), F.lit(0)).alias("m"), F.split(words, KNOWN, -1).alias("g"), empty.alias("out"))
+    places = F.aggregate(F.sequence(F.lit(1), F.size(F.regexp_extract_all(words, F.lit(KNOWN), F.lit(0)))), start, step, lambda acc: acc["out"])
+    found = F.when(F.lower(t).rlike("|".join(TRIGGERS)) & words.rlike(KNOWN), places).otherwise(empty)
     rows = docs.withColumn("_found", found)
     run = F.concat(F.lit(","), F.array_join(F.transform("_found", lambda x: x["id"]), ","), F.lit(","))
     names = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(run.contains("," + ",".join(ids) + ","), name) for name, ids in RULES]))))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -222,6 +223,30 @@ def test_licence_rules(spark, empty):
     assert got == {1: ["MIT"], 2: [], 3: []} and licences.find_licences(empty).count() == 0
 
 
+CANONICAL = """SPDX-License-Identifier: MIT
+SPDX-License-Identifier: Apache-2.0
+SPDX-License-Identifier: GPL-3.0-only
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+Licensed under the Apache License, Version 2.0 (the "License");""".split("\n")
+
+
+def test_licence_sentences_over_marks_and_line_ends(spark):
+    plain = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    texts = list(licences.SENTENCES) + CANONICAL
+    assert all(plain(s) in licences.SENTENCES for s in CANONICAL)
+    wrapped = [(i, "Intro.\n * " + "\n * ".join(textwrap.wrap(s, width)) + "\n *\n * more") for i, s in enumerate(texts) for width in (30, 75, 2000)]
+    d = spark.createDataFrame(wrapped, "doc_id long, text string")
+    for r in licences.find_licences(d).collect():
+        assert [(s["place"], s["id"]) for s in r["licences"]["sentences"]] == [(1, licences.SENTENCES[plain(texts[r["doc_id"]])])], r["text"]
+    text_of = {i: s for s, i in licences.SENTENCES.items()} | {licences.SENTENCES[plain(s)]: s for s in CANONICAL}
+    runs = [(i, "\n\n".join(textwrap.fill(text_of[x], 40) for x in ids)) for i, (_, ids) in enumerate(licences.RULES)]
+    got = licences.find_licences(spark.createDataFrame(runs, "doc_id long, text string")).collect()
+    assert all(licences.RULES[r["doc_id"]][0] in r["licences"]["names"] for r in got) and len(got) == len(licences.RULES)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     got, want = queries.queries()[name](spark, SF).toPandas(), duck(SF).sql(queries.oracle_sql()[name]).df()
