@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, table, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
+#: Spacing that the parts of a text do not show: white space but blanks and line ends (and our own mark), two in a row, or at an end.
+_SPACED = re.compile(r"[^\S \n]|\0|[ \n](?:[ \n]|\Z)|\A[ \n]")
 
 
 def default_tokenizer() -> str:
@@ -35,7 +38,8 @@ class Encoder(dict):
     """Ids of a byte-level BPE file as little-endian bytes, kept by blank-separated part (at most ``keep`` of them).
 
     Before a single blank that stands between two other characters, and around a single line end, the
-    pre-tokenizer always cuts, so the parts can be encoded apart. Any other spacing is encoded as a whole."""
+    pre-tokenizer always cuts, so the parts can be encoded apart. Any other spacing (other white space, two in a row,
+    at either end) is encoded as a whole."""
 
     def __init__(self, path: str, keep: int = 100_000):
         import tiktoken
@@ -60,7 +64,7 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
-        if "\0" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not text or _SPACED.search(text):
             return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 

@@ -99,6 +99,17 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_ids_over_mixed_white_space():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    spaces = [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u2028", "\u200b", "\0"]
+    texts = ["a\n\u00a0\u00a0b", "a\tb\tc\n\n", "a\tb\tc\n\n\nd", "a\u00a0b\u00a0c\n\n", "a\n \tb c", "", " ", "a b\nc"]
+    texts += [f"a{x}b{y}{z}c" for x in spaces for y in spaces for z in spaces] + [f"{x}a b{y}" for x in spaces for y in spaces]
+    for t in texts:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_plan_is_close_to_the_bound():
     r = np.random.default_rng(5)
     hist = np.bincount(r.integers(1, 2049, 20000), minlength=2049)
