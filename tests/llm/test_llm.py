@@ -167,6 +167,32 @@ def test_secret_spans(docs, empty):
     assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.1
 
 
+def test_whole_secret_candidates(spark):
+    """A key after character 64 of a candidate, and a candidate that goes beyond a base span."""
+    key = "ghp_Zx8Qw3Rt6Yu1Io9Pa4Sd7Fg2Hj5Kl0Vb8Nm3Q"
+    path = "/".join(["folder"] * 14) + "/"
+    hexed = "Kq7Zt9Lw3" + "0123456789abcdef" * 2 + "Xv5Rb8Ty2"
+    d = spark.createDataFrame([(1, f"see {path}{key} there"), (2, f"my_key: {hexed} there"), (3, f"see {path}file1 there")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["secrets"]] for r in secret_scan.find_secrets(d).collect()}
+    assert ("net", path + key) in got[1] and ("net", hexed) in got[2] and "hex" in dict(got[2]) and got[3] == []
+    assert secret_scan.candidates(f"token={key}", secret_scan.base_spans(f"token={key}")) == []
+    model = secret_scan.trained()
+    spans = [(path + key, 0, len(path + key)), (key, 0, len(key)), (hexed * 9, 0, 9 * len(hexed))]
+    assert np.allclose(secret_scan.best_scores(model, spans), secret_scan.best_scores(model, spans, 3))
+
+
+def test_threshold_follows_the_recall():
+    found = list(secret_scan.labelled_texts(400, 99, joined=True))
+    model = secret_scan.trained()
+    assert all(e - s > secret_scan.WIDTH for _, s, e, _ in found)
+    p = np.array(secret_scan.best_scores(model, [f[:3] for f in found])) >= model.long_threshold
+    secret = np.array([f[3] for f in found]) == 1
+    assert p[secret].mean() > 0.9 and p[~secret].mean() < 0.1
+    x, y = secret_scan.labelled_findings(400, 99)
+    net = secret_scan.CharNet().calibrate(x, y, 1.0)
+    assert net.threshold == net.probability(x)[y == 1].min() < 0.5
+
+
 def test_fingerprints(docs, empty):
     r = docs.select("doc_id", fingerprint.fingerprint(F.coalesce("text", F.lit(""))).alias("f"), "text").collect()
     by = {}
