@@ -4,8 +4,8 @@ Texts become sets of word 5-grams, equal sets one class. Each class is embedded
 root, a token position is chosen with probability 1 / (similarity * COORDINATES), anew for each node of the recursion and
 each run; records with the same token at a chosen position share a child. Small buckets are compared all against all by
 sketch; larger ones split again, after a pass against one leader. What is still large at the last level is compared in blocks
-of pairs, unless all of it is connected already. ``runs`` follow from the target recall: a pair at the threshold shares one
-child a run in the mean, so it is missed by all of them with probability exp(-runs).
+of pairs, unless all of it is connected already. ``runs`` and the children of a split follow from the target recall, so that it
+holds for a pair at the threshold of which every shared bucket is large down to the last level (see ``miss``).
 
 Candidate connections only decide which classes meet; within each connected group all pairs are then counted exactly
 from the sets (in blocks where a group is large), and links of the wanted similarity alone make the final groups.
@@ -16,6 +16,7 @@ text; rows equal in id and text count each for themselves; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -264,9 +265,32 @@ def _pairs_of_blocks(n: Column, name: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(own.alias("blk"), F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
 
 
+def miss(runs: int, share: float, splits: int, similarity: float) -> float:
+    """Probability that a pair at the threshold shares no bucket after so many splits of every bucket that it shares."""
+    k = np.arange(COORDINATES + 1)
+    log = np.array([math.lgamma(COORDINATES + 1) - math.lgamma(i + 1) - math.lgamma(COORDINATES - i + 1) + i * math.log(similarity) + (COORDINATES - i) * math.log1p(-similarity) for i in k])
+    chosen = 1 / (similarity * COORDINATES)
+    lost = np.zeros(len(k))
+    for _ in range(splits):
+        lost = (1 - min(1.0, share * chosen) * (1 - lost)) ** k
+    return float((np.exp(log) * (1 - chosen * (1 - lost)) ** (k * runs)).sum())
+
+
+@functools.lru_cache(maxsize=8)
+def effort(recall: float, splits: int, similarity: float) -> tuple[int, float]:
+    """(runs, share): the least runs that reach the recall without a split, and the least share of a split, in tenths, from 1.5,
+    that keeps it over all splits; one more run where no share up to 6 does."""
+    runs = max(1, math.ceil(-math.log(1 - recall)))
+    while True:
+        for share in (x / 10 for x in range(15, 61)):
+            if miss(runs, share, splits, similarity) <= 1 - recall:
+                return runs, share
+        runs += 1
+
+
 def candidates(classes: DataFrame, similarity: float, recall: float, bucket: int, depth: int, block: int) -> DataFrame:
     """Connected groups (v, label) of classes that share leaves of the chosen-path recursion and have like sketches."""
-    runs = max(1, math.ceil(-math.log(1 - recall)))
+    runs, share = effort(recall, max(0, depth - 1), similarity)
     slack = similarity - 4.3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
     least = math.floor(slack * COORDINATES)
     branch = lambda k, share: F.pandas_udf(lambda nodes, sketches: _branches(nodes, sketches, k, similarity, share), "array<long>")
@@ -293,7 +317,7 @@ def candidates(classes: DataFrame, similarity: float, recall: float, bucket: int
         open_ = heavy.groupBy("node").agg(F.min("met").alias("all")).where("NOT all").select("node")
         heavy = heavy.join(open_, "node").withColumn("star", F.when(F.col("met"), F.col("lead")).otherwise(F.col("cid")))
         if d + 1 < depth:
-            level = heavy.join(own.select("cid", "sketch"), "cid").select("cid", "star", F.explode(branch(1, 1.5)(F.col("node"), F.col("sketch"))).alias("node"))
+            level = heavy.join(own.select("cid", "sketch"), "cid").select("cid", "star", F.explode(branch(1, share)(F.col("node"), F.col("sketch"))).alias("node"))
             continue
         # The last level: buckets that are not connected yet, in pairs of blocks.
         known = components(_union(edges))

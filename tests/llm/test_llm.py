@@ -74,6 +74,24 @@ def test_large_groups_are_counted_in_blocks(spark):
     assert ngram_join.keep_one_each(d, bucket=8, depth=2, block=10).count() == got.select("class_id").distinct().count()
 
 
+def test_recall_holds_where_every_bucket_splits():
+    """The recursion of pairs at 0.8 of which every bucket splits to the last level, against the recall asked for."""
+    for recall in (0.9, 0.99999):
+        runs, share = ngram_join.effort(recall, 3, 0.8)
+        assert max(ngram_join.miss(runs, share, n, 0.8) for n in range(4)) <= 1 - recall
+    assert ngram_join.miss(12, 1.5, 3, 0.8) > 30e-5
+    r = np.random.default_rng(3)
+    runs, share = ngram_join.effort(0.9, 3, 0.8)
+    a = r.integers(0, 2**32, (3000, ngram_join.COORDINATES), np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, r.integers(0, 2**32, a.shape, np.uint32))
+    pair, node = np.arange(len(a)), np.zeros(len(a), np.uint64)
+    for repeats, often in [(runs, 1.0), *[(1, share)] * 3]:
+        met = [set(zip(pair[i].tolist(), c.tolist())) for i, c in (ngram_join.children(node, t[pair], repeats, 0.8, often) for t in (a, b))]
+        both = sorted(met[0] & met[1])
+        pair, node = np.array([p for p, _ in both]), np.array([c for _, c in both], np.uint64)
+    assert 1 - len(set(pair.tolist())) / len(a) < 0.115
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
