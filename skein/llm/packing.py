@@ -6,7 +6,9 @@ The driver sees one histogram (at most ``capacity`` rows); pieces find their pla
 equal length, which is taken per (length, partition) so that no length lands in one task.
 
 Defined results: null text counts as empty (one piece, the end id alone); an empty table gives no rows; equal
-rows are packed each for itself; documents longer than the capacity are cut so that the first piece is the short one.
+rows are packed each for itself; documents longer than the capacity are cut so that the first piece is the short one, and
+very long ones are encoded whole; pieces of equal length are placed in the order of their rows; columns but id and text
+are not read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, table, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
-#: Spacing that the parts of a text do not show: white space but blanks and line ends (and our own mark), two in a row, or at an end.
-_SPACED = re.compile(r"[^\S \n]|\0|[ \n](?:[ \n]|\Z)|\A[ \n]")
+#: Runs of white space from this length on are encoded apart, so that the pre-tokenizer need not look back over them.
+_LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 
 def default_tokenizer() -> str:
@@ -34,17 +36,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder(dict):
-    """Ids of a byte-level BPE file as little-endian bytes, kept by blank-separated part (at most ``keep`` of them).
+class Encoder:
+    """Ids of a byte-level BPE file. Texts are encoded whole, but for special tokens and long runs of white space: such a run
+    but its last character (all of it at the end) is one piece of the pre-tokenizer, and what follows begins with that character."""
 
-    Before a single blank that stands between two other characters, and around a single line end, the
-    pre-tokenizer always cuts, so the parts can be encoded apart. Any other spacing (other white space, two in a row,
-    at either end) is encoded as a whole."""
-
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str):
         import tiktoken
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = _byte_alphabet()
@@ -53,20 +51,27 @@ class Encoder(dict):
         ranks = {k: v for k, v in ranks.items() if v not in special.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.special, self.keep = tuple(special), keep
+        self.special = special
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.marks and self.marks.search(text):
+            return np.concatenate([np.array([self.special[p]], np.uint32) if i % 2 else self._plain(p) for i, p in enumerate(self.marks.split(text))])
+        return self._plain(text)
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.keep:
-            self.clear()
-        got = self[part] = np.array(self.bpe.encode_ordinary(part), "<u4").tobytes()
-        return got
+    def _plain(self, text: str) -> np.ndarray:
+        if len(text) < 1000 or not (run := _LONG_SPACE.search(text)):
+            return self._encoded(text)
+        parts, at = [], 0
+        while run:
+            parts.append(self._encoded(text[at : run.start()]))
+            at = run.end() - (run.end() < len(text))
+            parts.append(np.array(self.bpe._encode_single_piece(text[run.start() : at]), np.uint32))
+            run = _LONG_SPACE.search(text, run.end())
+        return np.concatenate([*parts, self._encoded(text[at:])])
 
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
-        if not text or _SPACED.search(text):
-            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+    def _encoded(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, disallowed_special=())
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -81,11 +86,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces_of(ids: bytes, capacity: int) -> list[dict]:
-    n = len(ids) // 4
+def pieces_of(ids: np.ndarray, capacity: int) -> list[dict]:
+    n, raw = len(ids), memoryview(ids.astype("<u4", copy=False)).cast("B")
     first = (n - 1) % capacity + 1
     cuts = [0, *range(first, n + 1, capacity)]
-    return [{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return [{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(raw[4 * a : 4 * b])} for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
@@ -94,8 +99,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_co
     bounded_batches(docs.sparkSession)
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def split(texts: pd.Series) -> pd.Series:
-        enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
-        return pd.Series([pieces_of(enc.ids(t) + end, capacity) for t in texts])
+        enc = encoder(tokenizer)
+        return pd.Series([pieces_of(np.append(enc.ids(t), np.uint32(END_ID)), capacity) for t in texts])
 
     return docs.withColumn("_p", F.explode(split(text_or_empty(text_col))))
 
