@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,18 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get()
-    own = tempfile.mkdtemp(prefix="skein-checkpoint-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The folder named by spark.checkpoint.dir, or the one that the session was given by setCheckpointDir. Without either, a session
+    in one process gets a temporary one; on a cluster it is an error, as no folder is known that all executors share."""
+    context = spark.sparkContext
+    named, given = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = named or tempfile.mkdtemp(prefix="skein-checkpoint-")
+        context.setCheckpointDir(named)
+    return named or given.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,11 +48,21 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def text_or_empty(text: str | Column = "text") -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from every column of df (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Identity of a row: its id, and two digests of its text. Rows equal in both count as one document."""
-    t = text_or_empty(text_col)
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit("k"), t).alias("b"))
+
+def text_or_empty(text: str | Column = "text") -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

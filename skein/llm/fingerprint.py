@@ -1,11 +1,14 @@
-"""Document fingerprints: a Merkle tree over word groups, paragraphs (lines) and sections (runs of paragraphs).
+"""Document fingerprints: a Merkle tree of leaves (word groups), paragraphs (lines), sections (runs of paragraphs) and a root.
 
-The fingerprint is text: root ``|`` sections ``|`` paragraphs ``|`` leaves ``|`` fine leaves, each a run of fixed-width hex digests;
-roots decide equality, differing branches show where an edit lies. Fine leaves (single words) are kept for short
-texts only. DataFrame functions only.
+A leaf is up to ``LEAF_WORDS`` words of a paragraph; a longer run without a blank counts as a word every ``WORD_CHARS`` characters, so
+leaves are bounded in any text. Every parent hashes the digests of its children, the root all sections. The fingerprint is text:
+root ``|`` section digests ``|`` paragraphs joined by commas, each its digest and those of its leaves. Equal roots mean equal texts;
+``likeness`` and ``edited_paths`` go down only where digests differ. DataFrame functions only.
 
-Defined results: null text counts as empty; equal texts have equal fingerprints and likeness 1; the next document
-of the only one is itself; null ids come last (lowest); rows that share an id follow each other by text digest.
+Defined results: null text counts as empty (one paragraph without leaves); equal texts, repeated rows among them, have equal
+fingerprints and likeness 1; very long texts have as many leaves as they need; the next document of the only one is itself; null
+ids come last (lowest); rows that share an id follow each other by text digest; an empty table gives no rows; helper columns take
+names that the table does not have.
 """
 
 from __future__ import annotations
@@ -13,61 +16,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_or_empty
+from .common import broadcast_if_small, cut, fresh, let, table, text_or_empty
 
-GROUP_WORDS, SECTION_PARAGRAPHS, FINE_CHARS, ROOT, WIDTH = 8, 16, 1024, 32, 6
-_MARK = "\u0001"
+LEAF_WORDS, WORD_CHARS, SECTION_PARAGRAPHS, ROOT, WIDTH = 4, 24, 16, 32, 12
+_LEAF = rf"(?:[^ ]{{1,{WORD_CHARS}}}+ ?+| ){{1,{LEAF_WORDS}}}+"
 
 
-def digests(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, lambda p: F.substring(F.md5(p.cast("binary")), 1, WIDTH)), "")
+def _hash(kind: str, children: Column) -> Column:
+    return F.md5(F.concat(F.lit(kind), F.array_join(children, "")).cast("binary"))
+
+
+def _short(digests: Column) -> Column:
+    return F.array_join(F.transform(digests, lambda d: F.substring(d, 1, WIDTH)), "")
 
 
 def fingerprint(text: Column) -> Column:
-    """Leaves are groups of words inside a paragraph; paragraphs and sections hash their own text span, the root all of it."""
-    paragraphs = F.split(text, "\n", -1)
-    sections = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / SECTION_PARAGRAPHS).cast("int")),
-        lambda i: F.array_join(F.slice(paragraphs, i * SECTION_PARAGRAPHS + 1, F.lit(SECTION_PARAGRAPHS)), "\n"),
-    )
-    groups = F.split(F.regexp_replace(text, rf"((?:[^ \n]+ ){{{GROUP_WORDS}}}|\n)", f"$1{_MARK}"), _MARK, -1)
-    fine = F.when(F.length(text) <= FINE_CHARS, digests(F.split(text, "[ \n]", -1))).otherwise("")
-    return F.concat_ws("|", F.md5(text.cast("binary")), digests(sections), digests(paragraphs), digests(groups), fine)
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda l: F.md5(l.cast("binary")))
+    paragraph = lambda p: let(leaves(p), lambda ls: F.struct(_hash("p", ls).alias("d"), _short(ls).alias("leaves")))
+
+    def joined(paragraphs: Column) -> Column:
+        ds = paragraphs["d"]
+        sections = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / SECTION_PARAGRAPHS).cast("int")),
+            lambda i: _hash("s", F.slice(ds, i * SECTION_PARAGRAPHS + 1, F.lit(SECTION_PARAGRAPHS))),
+        )
+        below = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.substring(p["d"], 1, WIDTH), p["leaves"])), ",")
+        return let(sections, lambda s: F.concat_ws("|", _hash("r", s), _short(s), below))
+
+    return let(F.transform(F.split(text, "\n", -1), paragraph), joined)
 
 
-def _level(fp: Column, i: int) -> Column:
-    return F.regexp_extract_all(F.element_at(F.split(fp, r"\|", -1), i), F.lit(f".{{{WIDTH}}}"), F.lit(0))
+def _digests(run: Column) -> Column:
+    return F.regexp_extract_all(run, F.lit(f".{{{WIDTH}}}"), F.lit(0))
 
 
 def branches(fp: Column) -> Column:
-    """The parts of a fingerprint that are compared. Put it in a column of its own before ``likeness``, so that it is read once."""
-    return F.struct(F.substring(fp, 1, ROOT).alias("root"), _level(fp, 4).alias("leaves"), _level(fp, 5).alias("fine"))
+    """A fingerprint as a struct of root, sections and paragraphs (digest, leaves). Put it in a column of its own before it is
+    compared, so that it is read once."""
+    paragraph = lambda p: F.struct(F.substring(p, 1, WIDTH).alias("d"), _digests(F.substring(p, WIDTH + 1, 1 << 30)).alias("leaves"))
+    return let(F.split(fp, r"\|", -1), lambda x: F.struct(F.get(x, F.lit(0)).alias("root"), _digests(F.get(x, F.lit(1))).alias("sections"), F.transform(F.split(F.get(x, F.lit(2)), ",", -1), paragraph).alias("paragraphs")))
+
+
+def _section(x: Column, i: Column) -> Column:
+    return F.get(x["sections"], F.floor(i / SECTION_PARAGRAPHS).cast("int"))
+
 
+def _indices(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
-def _aligned(a: Column, b: Column) -> Column:
-    """Share of branches at the same path that agree."""
-    same = F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: z["x"] == z["y"]))
-    return same / F.greatest(F.size(a), F.size(b), F.lit(1))
 
+def _same_place(x: Column, y: Column) -> Column:
+    """Number of leaves that agree at the same path. Equal sections and paragraphs count without a look below them."""
 
-def _shared(a: Column, b: Column) -> Column:
-    """Share of distinct branches that occur in both, wherever they stand."""
-    both = F.size(F.array_intersect(a, b))
-    return both / F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)), F.lit(1))
+    def leaves(acc, i):
+        a, b = F.get(x["paragraphs"], i), F.get(y["paragraphs"], i)
+        equal = lambda: F.size(F.filter(_indices(F.least(F.size(a["leaves"]), F.size(b["leaves"]))), lambda k: F.get(a["leaves"], k) == F.get(b["leaves"], k)))
+        return acc + F.when((_section(x, i) == _section(y, i)) | (a["d"] == b["d"]), F.size(a["leaves"])).otherwise(equal())
+
+    return F.aggregate(_indices(F.least(F.size(x["paragraphs"]), F.size(y["paragraphs"]))), F.lit(0), leaves)
+
+
+def _all_leaves(x: Column) -> Column:
+    return F.flatten(x["paragraphs"]["leaves"])
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Of two ``branches``: 1 for equal roots, else the best of leaves at the same path, fine leaves at the same path, leaves anywhere."""
-    fine = F.when((F.size(x["fine"]) > 0) & (F.size(y["fine"]) > 0), _aligned(x["fine"], y["fine"])).otherwise(0.0)
-    near = F.greatest(_aligned(x["leaves"], y["leaves"]), _shared(x["leaves"], y["leaves"]), fine)
+    """Of two ``branches``: 1 for equal roots, else the larger of the shares of leaves that agree at the same path, and of distinct
+    leaves that occur in both, wherever they stand."""
+    place = lambda a, b: _same_place(x, y) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    anywhere = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    distinct = lambda a, b: let(F.array_distinct(a), lambda p: let(F.array_distinct(b), lambda q: anywhere(p, q)))
+    near = let(_all_leaves(x), lambda a: let(_all_leaves(y), lambda b: F.greatest(place(a, b), distinct(a, b))))
     return F.when(x["root"] == y["root"], F.lit(1.0)).otherwise(F.least(near, F.lit(0.999)))
 
 
-def edited_branches(x: Column, y: Column) -> Column:
-    """Paths (0-based paragraph numbers) where two fingerprints differ."""
-    a, b = _level(x, 3), _level(y, 3)
-    z = F.arrays_zip(a.alias("x"), b.alias("y"))
-    return F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: ~F.get(z, i)["x"].eqNullSafe(F.get(z, i)["y"]))
+def edited_paths(x: Column, y: Column) -> Column:
+    """Where two ``branches`` differ: array of (section, paragraph, leaf), 0-based, found by going down differing digests only; leaf
+    is -1 where a paragraph stands on one side only, or has no leaf that differs."""
+    path = lambda i, k: F.struct(F.floor(i / SECTION_PARAGRAPHS).cast("int").alias("section"), i.alias("paragraph"), k.alias("leaf"))
+
+    def below(i):
+        a, b = F.get(x["paragraphs"], i), F.get(y["paragraphs"], i)
+        differ = F.filter(_indices(F.greatest(F.size(a["leaves"]), F.size(b["leaves"]))), lambda k: ~F.get(a["leaves"], k).eqNullSafe(F.get(b["leaves"], k)))
+        one_side = a["d"].isNull() | b["d"].isNull() | (F.size(differ) == 0)
+        return F.when(one_side, F.array(path(i, F.lit(-1)))).otherwise(F.transform(differ, lambda k: path(i, k)))
+
+    open_ = F.filter(_indices(F.greatest(F.size(x["paragraphs"]), F.size(y["paragraphs"]))), lambda i: ~_section(x, i).eqNullSafe(_section(y, i)) & ~F.get(x["paragraphs"], i)["d"].eqNullSafe(F.get(y["paragraphs"], i)["d"]))
+    none = F.expr("cast(array() as array<struct<section:int,paragraph:int,leaf:int>>)")
+    return F.when(x["root"] == y["root"], none).otherwise(F.flatten(F.transform(open_, below)))
 
 
 _BITS = 12
@@ -85,30 +121,31 @@ def next_lower(ids: DataFrame) -> DataFrame:
     return inner.join(broadcast_if_small(below), "b", "left").select("k", F.coalesce("lower", "most").alias("lower"))
 
 
-def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Adds ``next``: the struct of the carried columns of the next document in descending id (after the last: the first).
+def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id", out: str = "next", prepare=lambda df: df) -> DataFrame:
+    """Adds ``out``: the struct of the carried columns of the next document in descending id (after the last: the first).
 
     Rows are dealt out by blocks of 2^12 ids. Each block also gets a copy of the first row of the next block (a guest),
-    found by its id, so that the texts are shuffled once."""
-    k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumn("_k", k).withColumn("_b", F.shiftright("_k", _BITS)).withColumn("_t", F.xxhash64(*carried))
-    ids = cut(rows.select(F.col("_k").alias("k")).distinct())
-    tops = cut(ids.groupBy(F.shiftright("k", _BITS).alias("b")).agg(F.max("k").alias("most"), F.min("k").alias("least")))
+    found by its id, so that the texts are shuffled once; ``prepare`` adds columns after that, which can be carried too."""
+    k, b, t, guest, home, n = fresh(docs, "_k", "_b", "_t", "_guest", "_home", "_n")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    ids = cut(docs.select(key.alias("k")).distinct())
+    tops = cut(ids.groupBy(F.shiftright("k", _BITS).alias("b")).agg(F.max("k").alias("most")))
     chain = next_lower(tops.select(F.col("b").alias("k"))).withColumnRenamed("k", "b")
     highest = tops.agg(F.max("most").alias("highest"))
     guests = chain.join(tops.select(F.col("b").alias("lower"), "most"), "lower", "left").crossJoin(F.broadcast(highest))  # one row
-    guests = broadcast_if_small(cut(guests.select(F.col("b").alias("_home"), F.coalesce("most", "highest").alias("_k"))))
-    one = Window.partitionBy("_home").orderBy(F.desc("_t"))
-    visit = rows.join(guests, "_k").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    visit = visit.withColumn("_b", F.col("_home")).drop("_home").withColumn("_guest", F.lit(True))
-    every = rows.withColumn("_guest", F.lit(False)).unionByName(visit)
-    order = Window.partitionBy("_b").orderBy(F.asc("_guest"), F.desc("_k"), F.desc("_t"))
-    return every.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_guest")).drop("_k", "_b", "_t", "_guest")
+    guests = broadcast_if_small(cut(guests.select(F.col("b").alias(home), F.coalesce("most", "highest").alias(k))))
+    rows = docs.withColumn(k, key).withColumn(t, F.xxhash64(*[c for c in carried if c in docs.columns]))
+    one = Window.partitionBy(home).orderBy(F.desc(t))
+    visit = rows.join(guests, k).withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    every = rows.withColumn(b, F.shiftright(k, _BITS)).withColumn(guest, F.lit(False)).unionByName(visit.withColumnRenamed(home, b).withColumn(guest, F.lit(True)))
+    order = Window.partitionBy(b).orderBy(F.asc(guest), F.desc(k), F.desc(t))
+    every = prepare(every.repartition(b)).withColumn(out, F.lead(F.struct(*carried)).over(order))
+    return every.where(~F.col(guest)).drop(k, b, t, guest)
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
+    rows = with_next(docs, ["text", "fingerprint"], prepare=lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))))
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - m), F.substr(F.col("next.text"), F.lit(1), m))
@@ -120,33 +157,32 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_digests(parts: str) -> str:
-    return f"array_to_string(list_transform({parts}, lambda p: substr(md5(p), 1, 6)), '')"
-
-
-def _sql_print(t: str) -> str:
-    pars = f"string_split({t}, chr(10))"
-    secs = f"list_transform(range(0, CAST(floor((len({pars}) - 1) / 16) AS BIGINT) + 1), lambda i: array_to_string({pars}[i * 16 + 1 : i * 16 + 16], chr(10)))"
-    groups = f"string_split(regexp_replace({t}, '((?:[^ \\n]+ ){{8}}|\\n)', '\\1' || chr(1), 'g'), chr(1))"
-    fine = f"CASE WHEN length({t}) <= 1024 THEN {_sql_digests(f"string_split_regex({t}, '[ \\n]')")} ELSE '' END"
-    return f"md5({t}) || '|' || {_sql_digests(secs)} || '|' || {_sql_digests(pars)} || '|' || {_sql_digests(groups)} || '|' || {fine}"
+def _sql_tree(t: str) -> str:
+    """Paragraphs with full digests, sections, root; one CTE step each."""
+    return f"""a AS (SELECT doc_id, list_transform(string_split({t}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?:[^ ]{{1,24}} ?| ){{1,4}}'), lambda l: md5(l))) AS ls FROM s),
+  b AS (SELECT doc_id, ls, list_transform(ls, lambda l: md5('p' || array_to_string(l, ''))) AS ps FROM a),
+  c AS (SELECT *, list_transform(range(0, (len(ps) + 15) // 16), lambda i: md5('s' || array_to_string(ps[i * 16 + 1 : i * 16 + 16], ''))) AS ss FROM b)
+  SELECT doc_id, md5('r' || array_to_string(ss, '')) || '|' || array_to_string(list_transform(ss, lambda d: substr(d, 1, 12)), '') || '|'
+    || array_to_string(list_transform(range(1, len(ps) + 1), lambda i: substr(ps[i], 1, 12) || array_to_string(list_transform(ls[i], lambda d: substr(d, 1, 12)), '')), ',') AS fp,
+    list_transform(ls, lambda l: list_transform(l, lambda d: substr(d, 1, 12))) AS lv FROM c"""
 
 
 def _sql_near(x: str, y: str) -> str:
-    level = lambda f, i: f"list_transform(range(0, CAST(length(string_split({f}, '|')[{i}]) / 6 AS BIGINT)), lambda k: substr(string_split({f}, '|')[{i}], k * 6 + 1, 6))"
-    aligned = lambda a, b: f"len(list_filter(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[k] = {b}[k])) / greatest(len({a}), len({b}), 1)"
-    a, b, f, g = level(x, 4), level(y, 4), level(x, 5), level(y, 5)
-    shared = f"len(list_intersect({a}, {b})) / greatest(len(list_distinct({a})), len(list_distinct({b})), 1)"
-    fine = f"CASE WHEN len({f}) > 0 AND len({g}) > 0 THEN {aligned(f, g)} ELSE 0.0 END"
-    return f"CASE WHEN substr({x}, 1, 32) = substr({y}, 1, 32) THEN 1.0 ELSE least(greatest(CAST({aligned(a, b)} AS DOUBLE), CAST({shared} AS DOUBLE), CAST({fine} AS DOUBLE)), 0.999) END"
+    """Leaves at the same path, and distinct leaves anywhere, from nested lists of leaf digests."""
+    all_ = lambda v: f"flatten({v})"
+    place = f"coalesce(list_sum(list_transform(range(1, least(len({x}), len({y})) + 1), lambda i: len(list_filter(range(1, least(len({x}[i]), len({y}[i])) + 1), lambda k: {x}[i][k] = {y}[i][k])))), 0)"
+    return f"""greatest(CAST({place} AS DOUBLE) / greatest(len({all_(x)}), len({all_(y)}), 1),
+    CAST(len(list_intersect({all_(x)}, {all_(y)})) AS DOUBLE) / greatest(len(list_distinct({all_(x)})), len(list_distinct({all_(y)})), 1))"""
 
 
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS nid, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(nxt, 1, length(text) // 3) AS edited FROM n),
-f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_sql_print('text')} AS fingerprint, {_sql_print('edited')} AS edited_fingerprint, {_sql_print('nxt')} AS nf FROM e)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
-  CAST({_sql_near('fingerprint', 'edited_fingerprint')} AS DOUBLE) AS near_edited, CAST({_sql_near('fingerprint', 'nf')} AS DOUBLE) AS near_next
-FROM f
+f AS (WITH s AS (SELECT doc_id, text FROM e), {_sql_tree('text')}),
+g AS (WITH s AS (SELECT doc_id, edited FROM e), {_sql_tree('edited')})
+SELECT e.doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, f.fp AS fingerprint, g.fp AS edited_fingerprint,
+  CASE WHEN substr(f.fp, 1, 32) = substr(g.fp, 1, 32) THEN 1.0 ELSE least({_sql_near('f.lv', 'g.lv')}, 0.999) END AS near_edited,
+  CASE WHEN substr(f.fp, 1, 32) = substr(h.fp, 1, 32) THEN 1.0 ELSE least({_sql_near('f.lv', 'h.lv')}, 0.999) END AS near_next
+FROM e JOIN f USING (doc_id) JOIN g USING (doc_id) JOIN f h ON h.doc_id = e.nid
 """
