@@ -1,17 +1,19 @@
 """N-gram Jaccard join by chosen paths.
 
-Texts become sets of word 5-grams, equal sets one class. Each class is embedded by ``COORDINATES`` min-wise tokens. From the
-root, a token position is chosen with probability 1 / (similarity * COORDINATES), anew for each node of the recursion and
-each run; records with the same token at a chosen position share a child. Small buckets are compared all against all by
-sketch; larger ones split again, after a pass against one leader. What is still large at the last level is compared in blocks
-of pairs, unless all of it is connected already. ``runs`` and the children of a split follow from the target recall, so that it
-holds for a pair at the threshold of which every shared bucket is large down to the last level (see ``miss``).
+Texts become sets of word 5-grams, equal sets one class. Each class is embedded by ``COORDINATES`` min-wise tokens; the children of
+the root follow from whole tokens, everything below from their low bytes, the sketch. A node of the recursion samples some positions
+by a hash of its own; records with the same token at a sampled position share a child. Small buckets are compared all against all by sketch; larger ones split again, after a pass against one leader. What is still large
+at the last level is compared in blocks of pairs, unless all of it is connected already. How many positions the root and the
+nodes below it sample follows from the target recall, so that it holds for a pair at the threshold of which every shared
+bucket is large down to the last level (see ``miss``).
 
 Candidate connections only decide which classes meet; within each connected group all pairs are then counted exactly
 from the sets (in blocks where a group is large), and links of the wanted similarity alone make the final groups.
 
 Defined results: null text counts as empty; texts of fewer than five words are one shingle; texts without words are equal only to the same
-text; rows equal in id and text count each for themselves; an empty table gives no rows.
+text; rows equal in id and text count each for themselves; very long texts are shingled whole; a tie for the least id of a group
+goes to either row, as only the id is shown; an empty table gives no rows; only id and text are read, so no name clashes, and
+``keep_one_each`` returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, cut, table, text_or_empty
+from .common import bounded_batches, broadcast_if_small, cut, fresh, table, text_or_empty
 from .decontaminate import words_of
 
 WORDS, SIMILARITY, COORDINATES = 5, 0.8, 128
@@ -80,40 +82,31 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def profile(texts: pd.Series) -> pd.DataFrame:
-    out = []
+def profile(texts: pd.Series, count: int) -> pd.DataFrame:
+    """Class id, size of the set, the low bytes of its tokens, and the children of the root."""
+    out, root = [], np.zeros(1, np.uint64)
     for text in texts:
         s = shingles(text)
         name = hashlib.md5(s.tobytes() if len(s) else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
-        out.append((name, len(s), sketch(s).tobytes() if len(s) else None))
-    return pd.DataFrame(out, columns=["cid", "n", "sketch"])
+        tokens = sketch(s) if len(s) else None
+        out.append((name, len(s), None if tokens is None else tokens.astype(np.uint8).tobytes(), None if tokens is None else children(root, tokens[None], count)[0].view(np.int64)))
+    return pd.DataFrame(out, columns=["cid", "n", "small", "nodes"])
 
 
-def children(nodes: np.ndarray, tokens: np.ndarray, repeats: int, similarity: float, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(record, child) for records in nodes: positions chosen by a hash of node, repeat and position, ``share`` times as
-    often as a pair at the threshold needs to share one child a repeat."""
-    rows, out = [], []
-    bar = np.uint64(int(2**64 * share / (similarity * COORDINATES)))
+def children(nodes: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
+    """(record, child): the children of records in nodes at ``count`` positions, those of the least hash of node and position."""
     place = np.arange(COORDINATES, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for r in range(repeats):
-            own = mix(nodes + np.uint64(r + 1) * _M3)
-            i, j = np.nonzero(mix(own[:, None] + place * _M2) < bar)
-            rows.append(i)
-            out.append(mix(mix(nodes[i] + (j.astype(np.uint64) + np.uint64(1)) * _M1) + tokens[i, j].astype(np.uint64)))
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def _branches(nodes: pd.Series, sketches: pd.Series, repeats: int, similarity: float, share: float) -> pd.Series:
-    tokens = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, COORDINATES)
-    rows, out = [], []
-    for a in range(0, len(tokens), 1024):
-        r, c = children(nodes.to_numpy(np.int64)[a : a + 1024].view(np.uint64), tokens[a : a + 1024], repeats, similarity, share)
-        rows.append(r + a), out.append(c)
-    order = np.argsort(np.concatenate(rows), kind="stable") if rows else np.zeros(0, int)
-    row, child = np.concatenate(rows)[order], np.concatenate(out)[order].view(np.int64)
-    cuts = np.searchsorted(row, np.arange(len(tokens) + 1))
-    return pd.Series([np.unique(child[a:b]) for a, b in zip(cuts, cuts[1:])])
+        order = mix(mix(nodes)[:, None] + place * _M2)
+        at = np.argpartition(order, count - 1, axis=1)[:, :count] if count < COORDINATES else np.broadcast_to(place.astype(int), order.shape)
+        got = np.take_along_axis(tokens, at, 1).astype(np.uint64)
+        return mix(mix(nodes[:, None] + (at.astype(np.uint64) + np.uint64(1)) * _M1) + got)
+
+
+def _branches(nodes: pd.Series, sketches: pd.Series, count: int) -> pd.Series:
+    tokens = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)
+    own = nodes.to_numpy(np.int64).view(np.uint64)
+    return pd.Series([c for a in range(0, len(tokens), 1024) for c in children(own[a : a + 1024], tokens[a : a + 1024], count).view(np.int64)])
 
 
 def groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -152,8 +145,16 @@ def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
     out = np.zeros((len(a), len(b)), bool)
     for i in range(0, len(a), 64):
         out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(2, dtype=np.uint8 if COORDINATES < 256 else np.uint16) >= least
-    big, small = np.maximum(na[:, None], nb[None, :]), np.minimum(na[:, None], nb[None, :])
-    return out & (small >= similarity * big - 1e-9)
+        own = na[i : i + 64, None]
+        out[i : i + 64] &= np.minimum(own, nb) >= similarity * np.maximum(own, nb) - 1e-9
+    return out
+
+
+def _stars(sketches: np.ndarray, n: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Least index of each record's candidate component; one comparison with the first record settles a bucket of copies of it."""
+    if len(n) > 2 and _alike(sketches[:1], sketches[1:], n[:1], n[1:], least, similarity).all():
+        return np.zeros(len(n), int)
+    return first_of_each(_alike(sketches, sketches, n, n, least, similarity))
 
 
 def _compare(batches: Iterator[pd.DataFrame], least: int, similarity: float) -> Iterator[pd.DataFrame]:
@@ -163,9 +164,8 @@ def _compare(batches: Iterator[pd.DataFrame], least: int, similarity: float) ->
         if len(g) < 2:
             continue
         s = np.frombuffer(b"".join(g["small"]), np.uint8).reshape(len(g), -1)
-        n, cid = g["n"].to_numpy(), g["cid"].to_numpy()
-        linked = _alike(s, s, n, n, least, similarity)
-        label = first_of_each(linked)
+        cid = g["cid"].to_numpy()
+        label = _stars(s, g["n"].to_numpy(np.int32), least, similarity)
         for i in np.nonzero(label != np.arange(len(g)))[0]:
             us.append(cid[label[i]]), vs.append(cid[i])
         if len(us) > 5000:
@@ -265,59 +265,61 @@ def _pairs_of_blocks(n: Column, name: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(own.alias("blk"), F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
 
 
-def miss(runs: int, share: float, splits: int, similarity: float) -> float:
-    """Probability that a pair at the threshold shares no bucket after so many splits of every bucket that it shares."""
-    k = np.arange(COORDINATES + 1)
-    log = np.array([math.lgamma(COORDINATES + 1) - math.lgamma(i + 1) - math.lgamma(COORDINATES - i + 1) + i * math.log(similarity) + (COORDINATES - i) * math.log1p(-similarity) for i in k])
-    chosen = 1 / (similarity * COORDINATES)
-    lost = np.zeros(len(k))
-    for _ in range(splits):
-        lost = (1 - min(1.0, share * chosen) * (1 - lost)) ** k
-    return float((np.exp(log) * (1 - chosen * (1 - lost)) ** (k * runs)).sum())
+def miss(root: int, below: int, splits: int, similarity: float) -> float:
+    """Probability that a pair at the threshold shares no bucket after so many splits of every bucket that it shares: the mean
+    over the number k of positions at which its sketches agree, as sampled positions are drawn without replacement."""
+    n, log = COORDINATES, lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    out = 0.0
+    for k in range(n + 1):
+        drawn = lambda c: [(j, math.exp(log(k, j) + log(n - k, c - j) - log(n, c))) for j in range(max(0, c - n + k), min(c, k) + 1)]
+        lost, every = 0.0, drawn(below)
+        for _ in range(splits):
+            lost = sum(p * lost**j for j, p in every)
+        share = math.exp(log(n, k) + k * math.log(similarity) + (n - k) * math.log1p(-similarity))
+        out += share * sum(p * lost**j for j, p in drawn(root))
+    return out
 
 
 @functools.lru_cache(maxsize=8)
-def effort(recall: float, splits: int, similarity: float) -> tuple[int, float]:
-    """(runs, share): the least runs that reach the recall without a split, and the least share of a split, in tenths, from 1.5,
-    that keeps it over all splits; one more run where no share up to 6 does."""
-    runs = max(1, math.ceil(-math.log(1 - recall)))
-    while True:
-        for share in (x / 10 for x in range(15, 61)):
-            if miss(runs, share, splits, similarity) <= 1 - recall:
-                return runs, share
-        runs += 1
+def effort(recall: float, splits: int, similarity: float) -> tuple[int, int]:
+    """(root, below): how many positions the root and a node below it sample; the least root, then the least below (at most 6),
+    that keep the recall over all splits."""
+    for root in range(1, COORDINATES + 1):
+        for below in range(2, 7):
+            if miss(root, below, splits, similarity) <= 1 - recall:
+                return root, below
+    return COORDINATES, 6
 
 
 def candidates(classes: DataFrame, similarity: float, recall: float, bucket: int, depth: int, block: int) -> DataFrame:
     """Connected groups (v, label) of classes that share leaves of the chosen-path recursion and have like sketches."""
-    runs, share = effort(recall, max(0, depth - 1), similarity)
+    _, below = effort(recall, max(0, depth - 1), similarity)
     slack = similarity - 4.3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
     least = math.floor(slack * COORDINATES)
-    branch = lambda k, share: F.pandas_udf(lambda nodes, sketches: _branches(nodes, sketches, k, similarity, share), "array<long>")
+    branch = F.pandas_udf(lambda nodes, sketches: _branches(nodes, sketches, below), "array<long>")
     star = lambda df: df.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInPandas(lambda b: _compare(b, least, similarity), "u binary, v binary")
     zero = F.lit(0).cast("long")
-    own = classes.where(F.col("sketch").isNotNull()).select("cid", "n", "small", "sketch")
-    level = own.select("cid", F.col("cid").alias("star"), F.explode(branch(runs, 1.0)(zero, F.col("sketch"))).alias("node"))
+    own = classes.where(F.col("small").isNotNull())
+    level = own.select("cid", F.explode("nodes").alias("node"))
     edges = []
     for d in range(depth):
-        level = cut(level)
-        # A bucket of which all have matched one leader before is connected already.
-        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.min("star").alias("lo"), F.max("star").alias("hi"))
-        sizes = cut(sizes.where("count > 1 AND lo != hi").select("node", "count"))
+        # At the root each record is its own star; below it, a bucket of which all have matched one leader is connected already.
+        stars = [F.min("star").alias("lo"), F.max("star").alias("hi")] if d else []
+        sizes = level.groupBy("node").agg(F.count("*").alias("count"), *stars).where("count > 1 AND lo != hi" if d else "count > 1").select("node", "count")
         held = level.join(sizes, "node")
-        leaves = held.where(F.col("count") <= bucket).join(own.drop("sketch"), "cid").select("node", zero.alias("x"), zero.alias("y"), "cid", "n", "small")
-        edges.append(cut(star(leaves)))
-        if sizes.where(F.col("count") > bucket).isEmpty():
+        held = cut(held if d else held.join(own.select("cid", "n", "small"), "cid")).select("node", "count", "cid", "n", "small")
+        edges.append(cut(star(held.where(F.col("count") <= bucket).select("node", zero.alias("x"), zero.alias("y"), "cid", "n", "small"))))
+        heavy = held.where(F.col("count") > bucket)
+        if heavy.isEmpty():
             break
-        heavy = held.where(F.col("count") > bucket).join(own.drop("sketch"), "cid").select("node", "count", "cid", "star", "n", "small")
-        lead = heavy.groupBy("node").agg(F.min(F.struct("cid", "n", "small")).alias("lead"))
+        lead = broadcast_if_small(cut(heavy.groupBy("node").agg(F.min(F.struct("cid", "n", "small")).alias("lead"))))
         met = _near(least, similarity)(F.col("small"), F.col("lead.small"), F.col("n"), F.col("lead.n"))
         heavy = cut(heavy.join(lead, "node").select("node", "count", "cid", "n", "small", F.col("lead.cid").alias("lead"), met.alias("met")))
         edges.append(heavy.where("met").select(F.col("lead").alias("u"), F.col("cid").alias("v")))
-        open_ = heavy.groupBy("node").agg(F.min("met").alias("all")).where("NOT all").select("node")
-        heavy = heavy.join(open_, "node").withColumn("star", F.when(F.col("met"), F.col("lead")).otherwise(F.col("cid")))
+        open_ = cut(heavy.groupBy("node").agg(F.min("met").alias("all")).where("NOT all").select("node"))
+        heavy = heavy.join(broadcast_if_small(open_), "node").withColumn("star", F.when(F.col("met"), F.col("lead")).otherwise(F.col("cid")))
         if d + 1 < depth:
-            level = heavy.join(own.select("cid", "sketch"), "cid").select("cid", "star", F.explode(branch(1, share)(F.col("node"), F.col("sketch"))).alias("node"))
+            level = cut(heavy.select("cid", "star", "n", "small", F.explode(branch(F.col("node"), F.col("small"))).alias("node")))
             continue
         # The last level: buckets that are not connected yet, in pairs of blocks.
         known = components(_union(edges))
@@ -344,18 +346,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 256, depth: int = 4, block: int = 800, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99999, bucket: int = 2048, depth: int = 4, block: int = 800, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, a, b (digests of its text), class_id (least id of its group), n_links (other rows of the
     wanted similarity, copies included), n_text_links (other distinct sets of that similarity), n_copies (rows of the same set)."""
     bounded_batches(docs.sparkSession)
     t = text_or_empty(text_col)
     digest = [F.xxhash64(t).alias("a"), F.xxhash64(F.lit("k"), t).alias("b")]
-    low_bytes = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.frombuffer(x, np.uint32).astype(np.uint8).tobytes()), "binary")
-    seen = docs.select(F.col(id_col).alias("id"), *digest, F.pandas_udf(profile, "cid binary, n int, sketch binary")(t).alias("p"))
-    seen = cut(seen.select("id", "a", "b", "p.cid", "p.n", "p.sketch"))
+    root, _ = effort(recall, max(0, depth - 1), similarity)
+    profiled = F.pandas_udf(lambda s: profile(s, root), "cid binary, n int, small binary, nodes array<long>")
+    seen = docs.select(F.col(id_col).alias("id"), *digest, profiled(t).alias("p"))
+    seen = cut(seen.select("id", "a", "b", "p.cid", "p.n", "p.small", "p.nodes"))
     rows = seen.select("id", "a", "b", "cid")
-    classes = seen.groupBy("cid").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.min(F.struct("id", "a", "b")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("small", low_bytes("sketch")))
+    classes = seen.groupBy("cid").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.min(F.struct("id", "a", "b")).alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("nodes").alias("nodes"))
+    classes = cut(classes)
     found = cut(candidates(classes, similarity, recall, bucket, depth, block))
     # All pairs within each candidate group, from the sets.
     members = found.groupBy("label").agg(F.count("*").alias("m"))
@@ -384,13 +387,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = found.where("n_links = 0").select("id", "a", "b", F.lit(1).cast("long").alias("n"))
     first = found.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("id", "a", "b")).alias("k"))
     first = first.select("k.*").join(found.groupBy("id", "a", "b").agg(F.count("*").alias("n")).withColumnRenamed("id", "i2"), ["a", "b"]).where(F.col("id").eqNullSafe(F.col("i2"))).drop("i2")
-    keep = cut(alone.unionByName(first.select("id", "a", "b", "n")))
-    keep = keep.select(F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"))
+    i, a, b, n = fresh(docs, "_i", "_a", "_b", "_n")
+    keep = cut(alone.unionByName(first.select("id", "a", "b", "n"))).select(F.col("id").alias(i), F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(n))
     t = text_or_empty(text_col)
-    names = docs.columns
-    rows = docs.withColumn("_ra", F.xxhash64(t)).withColumn("_rb", F.xxhash64(F.lit("k"), t))
-    rows = rows.join(broadcast_if_small(keep), (F.col("_ra") == F.col("_a")) & (F.col("_rb") == F.col("_b")) & rows[id_col].eqNullSafe(F.col("_id")))
-    return rows.where("_n = 1").select(*names).unionByName(rows.where("_n > 1").dropDuplicates([id_col, "_a", "_b"]).select(*names))
+    rows = docs.join(broadcast_if_small(keep), (F.xxhash64(t) == F.col(a)) & (F.xxhash64(F.lit("k"), t) == F.col(b)) & F.col(id_col).eqNullSafe(F.col(i)))
+    return rows.where(F.col(n) == 1).drop(i, a, b, n).unionByName(rows.where(F.col(n) > 1).dropDuplicates([id_col, a, b]).drop(i, a, b, n))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
