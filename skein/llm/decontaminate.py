@@ -3,8 +3,9 @@
 Training words stream through the automaton; at each word the length of the longest match that ends there is
 known, and with it whether a window of ``window`` item words (or a whole shorter item) ends there.
 
-Defined results: null or wordless texts have no words and no hits; an empty benchmark hits nothing; items that
-are null or wordless never occur; equal rows give equal results; very long texts are streamed word by word.
+Defined results: null, empty or wordless texts have no words and no hits; an empty benchmark hits nothing, an empty table gives no
+rows; items that are null or wordless never occur, and items of equal words occur together; equal rows give equal results; very
+long texts are streamed word by word; helper columns take names that the table does not have, and all its columns stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table, text_or_empty
+from .common import bounded_batches, cut, fresh, table, text_or_empty
 
 #: Words: runs of digits, letters and anything beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -190,50 +191,56 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
         def scan(texts: pd.Series) -> pd.DataFrame:
             return _scan(texts, sent.value, char_spans)
 
-        return df.withColumn(out, scan(text_or_empty(text_col)))
+        return df.withColumn(out, scan.asNondeterministic()(text_or_empty(text_col)))  # so that it is run once, wherever it is used
 
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
         return passed(first, docs)
-    parts, slim = [], docs.select(F.xxhash64(text_or_empty(text_col)).alias("_a"), F.xxhash64(F.lit("k"), text_or_empty(text_col)).alias("_b"), F.col(text_col))
-    def one(model):
-        return cut(passed(model, slim).select("_a", "_b", out).where(F.col(f"{out}.n_hit") > 0).dropDuplicates(["_a", "_b"]))
-    parts = [one(first), one(second)]
-    parts += [one(m) for m in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # spans are merged after sorting: a span that starts inside the one before it prolongs it
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list(f"{out}.spans"))),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    union = every.groupBy("_a", "_b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{out}.items")))).alias("_items"), merged.alias("_spans"))
     t = text_or_empty(text_col)
-    n_words = F.size(F.filter(F.split(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
-    keyed = docs.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.xxhash64(F.lit("k"), t)).join(union, ["_a", "_b"], "left")
+    digests = F.xxhash64(t), F.xxhash64(F.lit("k"), t)
+    slim = docs.select(digests[0].alias("_a"), digests[1].alias("_b"), F.col(text_col))
+
+    def one(model):
+        return cut(passed(model, slim).select("_a", "_b", F.col(out).alias("_h")).where("_h.n_hit > 0").dropDuplicates(["_a", "_b"]))
+
+    every = one(first).unionByName(one(second))
+    for m in blocks:
+        every = every.unionByName(one(m))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+
+    def merge(acc, s):
+        """Spans come sorted: one that starts inside the one before it, or where it ends, prolongs it."""
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    a, b, items, spans = fresh(docs, "_a", "_b", "_items", "_spans")
+    merged = F.aggregate(F.array_sort(F.flatten(F.collect_list("_h.spans"))), none, merge)
+    union = every.groupBy(F.col("_a").alias(a), F.col("_b").alias(b)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h.items")))).alias(items), merged.alias(spans))
+    keyed = docs.join(union, (digests[0] == F.col(a)) & (digests[1] == F.col(b)), "left")
     words_in = lambda c: F.size(F.filter(F.split(c, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
     one_span = lambda s: words_in(t.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))) if char_spans else s["end"] - s["start"]
-    inside = F.aggregate(F.coalesce("_spans", none), F.lit(0).cast("long"), lambda a, s: a + one_span(s))
-    return keyed.withColumn(out, F.struct(n_words.alias("n_words"), inside.alias("n_hit"), F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("_spans", none).alias("spans"))).drop("_a", "_b", "_items", "_spans")
+    inside = F.aggregate(F.coalesce(spans, none), F.lit(0).cast("long"), lambda x, s: x + one_span(s))
+    found = F.struct(words_in(t).alias("n_words"), inside.alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce(spans, none).alias("spans"))
+    return keyed.withColumn(out, found).drop(a, b, items, spans)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """Removes hit spans from ``text_col``; documents of which more than ``max_coverage`` of the words are hit go.
     Untouched documents keep their text as it is (a null text stays null)."""
-    found = find_hits(docs, benchmark, window, text_col, out="_hits", **options)
-    h = F.col("_hits")
+    (hits,) = fresh(docs, "_hits")
+    found = find_hits(docs, benchmark, window, text_col, out=hits, **options)
+    h = F.col(hits)
 
     kept = F.aggregate(
         h["spans"],
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(F.concat(a["text"], F.col(text_col).substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
+        lambda a: F.concat(a["text"], F.col(text_col).substr((a["at"] + 1).cast("int"), F.length(text_col))),
     )
-    text = F.concat(kept["text"], F.col(text_col).substr((kept["at"] + 1).cast("int"), F.length(text_col)))
-    return found.where((h["n_hit"] == 0) | (h["n_hit"] <= F.lit(max_coverage) * h["n_words"])).withColumn(text_col, F.when(h["n_hit"] == 0, F.col(text_col)).otherwise(text)).drop("_hits")
+    few = (h["n_hit"] == 0) | (h["n_hit"] <= F.lit(max_coverage) * h["n_words"])
+    return found.where(few).withColumn(text_col, F.when(h["n_hit"] == 0, F.col(text_col)).otherwise(kept)).drop(hits)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
