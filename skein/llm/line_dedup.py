@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, fresh, table, text_or_empty
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,12 +90,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     """Deletes later copies from ``text_col`` and adds ``out``, the number of deleted lines."""
     gone = repeated_lines(docs, min_words, id_col, text_col)
     t = text_or_empty(text_col)
-    slim = gone.select(F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("positions").alias("_gone"))
-    rows = docs.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.xxhash64(F.lit("k"), t))
-    rows = rows.join(slim, (rows["_a"] == slim["_a"]) & (rows["_b"] == slim["_b"]) & rows[id_col].eqNullSafe(slim["_id"]), "left").drop(slim["_a"]).drop(slim["_b"]).drop("_id")
-    parts = F.split(t, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda l, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn(out, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).drop("_a", "_b", "_gone")
+    i, a, b, g = fresh(docs, "_i", "_a", "_b", "_gone")
+    slim = gone.select(F.col("id").alias(i), F.col("a").alias(a), F.col("b").alias(b), F.col("positions").alias(g))
+    rows = docs.join(slim, (F.xxhash64(t) == F.col(a)) & (F.xxhash64(F.lit("k"), t) == F.col(b)) & F.col(id_col).eqNullSafe(F.col(i)), "left").drop(i, a, b)
+    kept = F.array_join(F.filter(F.split(t, "\n", -1), lambda l, i: ~F.array_contains(g, i)), "\n")
+    rows = rows.withColumn(text_col, F.when(F.col(g).isNull(), F.col(text_col)).otherwise(kept))
+    return rows.withColumn(out, F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long")).drop(g)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
