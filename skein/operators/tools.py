@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import document, table
-from .retrieval import bm25
+from .index import index_of, lexical
 
 TOOLS: dict[str, tuple[str, tuple[str, ...], Callable[..., DataFrame]]] = {}
 
@@ -23,8 +23,10 @@ def tool(description: str, *roles: str):
 
 @tool("Lexical search over active documents", "admin", "client")
 def search_documents(spark: SparkSession, sf_dir: str, question: str, top_k: int = 4) -> DataFrame:
-    docs = document(spark, sf_dir).where("is_active").select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
-    return bm25(docs, spark.createDataFrame([(0, question)], "query_id long, q string"), top_k)
+    docs = document(spark, sf_dir)
+    found = lexical(index_of(spark, sf_dir, docs), spark.createDataFrame([(0, question)], "query_id long, q string"), 4 * top_k)
+    kept = found.join(docs.where("is_active").select("id"), "id", "left_semi")
+    return kept.orderBy("rank").limit(top_k)
 
 
 @tool("The latest active configuration", "admin")

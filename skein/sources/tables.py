@@ -5,7 +5,7 @@ Each adapter has its SQL twin in ``MODEL_SQL`` for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".pdf", ".docx", ".md", ".txt", ".html")
@@ -58,11 +58,12 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with dates, money and durations, grouped as retrieved lists by customer."""
+    """Sentences with dates, money and durations, as retrieved lists: the ten newest orders of each customer."""
     o = table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" of $"), F.floor("o_totalprice").cast("long"), F.lit(".00 was placed on "), day, F.lit(" and ships in "), F.col("o_orderkey") % 9 + 2, F.lit(" days, see section "), F.col("o_orderkey") % 7 + 1, F.lit(" below."))
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("query_id"), text.alias("text"))
+    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("query_id"), text.alias("text"), newest.alias("n")).where("n <= 10").drop("n")
 
 
 #: Fixed list of questions that reach every branch of the classifiers.
@@ -93,6 +94,6 @@ MODEL_SQL = {
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""",
     "turns": "(SELECT conv_id AS session_id, turn, role, text AS content, conv_id % 4 AS project_id FROM conversations)",
     "token_usage": "(SELECT event_id AS id, user_id, user_id % 4 AS project_id, (['gemini-1.5-flash', 'gemini-1.5-pro', 'llama-3.3-70b-versatile', 'llama-3.1-8b-instant', 'other'])[event_id % 5 + 1] AS model, CASE WHEN event_id % 5 < 2 THEN 'google' ELSE 'groq' END AS provider, event_id % 4000 AS input_tokens, event_id % 900 AS output_tokens, ts AS timestamp FROM events)",
-    "facts": "(SELECT o_orderkey AS id, o_custkey AS query_id, 'Order ' || o_orderkey || ' of $' || CAST(floor(o_totalprice) AS BIGINT) || '.00 was placed on ' || strftime(o_orderdate, '%Y-%m-%d') || ' and ships in ' || (o_orderkey % 9 + 2) || ' days, see section ' || (o_orderkey % 7 + 1) || ' below.' AS text FROM orders)",
+    "facts": "(SELECT o_orderkey AS id, o_custkey AS query_id, 'Order ' || o_orderkey || ' of $' || CAST(floor(o_totalprice) AS BIGINT) || '.00 was placed on ' || strftime(o_orderdate, '%Y-%m-%d') || ' and ships in ' || (o_orderkey % 9 + 2) || ' days, see section ' || (o_orderkey % 7 + 1) || ' below.' AS text FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 10)",
     "questions": f"(SELECT * FROM (VALUES {_Q}) AS v(qid, q) UNION ALL SELECT item_id + 1000000, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn + 1000000000, text FROM conversations WHERE role = 'user')",
 }

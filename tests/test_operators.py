@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, evidence, retrieval, tools
+from skein.operators import chunking, evidence, index, retrieval, tools
 from skein.streaming import state
 
 
@@ -19,6 +19,9 @@ def test_recursive_split_overlap_and_edges():
     assert chunking.recursive_split("", 10) == [] == chunking.recursive_split("   ", 10)
     out = chunking.recursive_split("one two three four five six", 12, 20)
     assert out[1].startswith(" ".join(out[0].split()[-2:]))
+    assert chunking.recursive_split("aa bb\n\ncccccccccccc dd", 8, 0, pending=True) == ["aa bb", "cccccccc", "cccc", "dd", "aa bb"]
+    assert chunking.recursive_split("aa bb\n\ncccccccccccc dd", 8, 0) == ["aa bb", "cccccccc", "cccc", "dd"]
+    assert chunking.page_split(["p" * 60, "q " * 40], "", 10, 0)[0] == "p" * 10 and chunking.page_split([], "abc", 10) == ["abc"]
 
 
 def test_rrf_is_a_ranking_per_query(spark):
@@ -27,10 +30,10 @@ def test_rrf_is_a_ranking_per_query(spark):
     assert got == {11: 1, 10: 2, 12: 3}
 
 
-def test_bm25_fills_up_with_zero_scores(spark):
+def test_bm25_fills_up_with_zero_scores(spark, tmp_path):
     docs = spark.createDataFrame([(1, "apple pie"), (2, None), (3, ""), (4, "apple apple")], "doc_id int, text string")
     q = spark.createDataFrame([(7, "apple"), (8, "nothing here")], "query_id int, q string")
-    got = retrieval.bm25(docs, q, 3).collect()
+    got = index.lexical(index.build(docs, str(tmp_path / "i"), "doc_id", "text", None), q, 3).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 8] == [1, 2, 3]
     assert len([r for r in got if r["query_id"] == 7]) == 3
 
