@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import query
 from ..sources.tables import document, query_log, table, token_usage, turns
-from .classify import cost
+from .classify import PRICES, cost
 
 #: Analytics never read the clock: the end of the period is a parameter.
 AS_OF, DAYS = "2024-01-25", 14
@@ -18,21 +18,36 @@ def in_period(df: DataFrame, ts: str, as_of: str = AS_OF, days: int = DAYS) -> D
     return df.where((F.col(ts) >= end - F.expr(f"interval {days} days")) & (F.col(ts) < end))
 
 
+#: Quality fields in the JSON of a log row.
+RAGAS = ("context_relevance", "faithfulness", "answer_relevance", "groundedness", "overall_score")
+
+
+def _ragas(key: str):
+    return F.get_json_object("ragas_scores", f"$.{key}").cast("double")
+
+
+def _trace(path: str):
+    return F.get_json_object("pipeline_trace", f"$.{path}").cast("double")
+
+
 def kpis(log: DataFrame) -> DataFrame:
     """Totals of a project: nulls are skipped, an empty period gives zeros. One pass; JSON fields are read in the same scan."""
-    r = lambda key: F.avg(F.get_json_object("ragas_scores", f"$.{key}").cast("double"))
     zero = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(n)
-    shown = F.sum("citations_shown")
+    shown = F.col("citations_shown") > 0
     return log.groupBy("project_id").agg(
-        F.count("*").alias("queries"), zero(F.avg("latency_ms"), "avg_latency"), zero(r("faithfulness"), "faithfulness"), zero(r("answer_relevance"), "answer_relevance"),
-        zero(F.try_divide(F.sum("citations_clicked"), shown), "engagement"), zero(F.avg(F.col("used_hybrid_search").cast("int")) * 100, "hybrid_rate"),
+        F.count("*").alias("queries"), zero(F.avg("latency_ms"), "avg_latency"), zero(F.avg("hallucination_score"), "hallucination"), *[zero(F.avg(_ragas(k)), k) for k in RAGAS],
+        zero(F.avg(_trace("compression_stats.compression_ratio")), "compression_ratio"), zero(F.avg(_trace("prompt_cache_info.estimated_monthly_savings_usd")), "cache_savings"),
+        zero(F.try_divide(F.sum(F.when(shown, F.col("citations_clicked"))), F.sum(F.when(shown, F.col("citations_shown")))), "engagement"), zero(F.avg(F.col("used_hybrid_search").cast("int")) * 100, "hybrid_rate"),
     )
 
 
 _LOG = f"WITH l AS (SELECT * FROM {{query_log}} WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY AND created_at < TIMESTAMP '{AS_OF}')"
 
 
-@query(_LOG + " SELECT project_id, count(*) AS queries, round(coalesce(avg(latency_ms), 0), 4) AS avg_latency, round(coalesce(avg(faithfulness), 0), 4) AS faithfulness, round(coalesce(avg(answer_relevance), 0), 4) AS answer_relevance, round(coalesce(sum(citations_clicked) / CAST(nullif(sum(citations_shown), 0) AS DOUBLE), 0), 4) AS engagement, round(coalesce(avg(CASE WHEN used_hybrid_search THEN 1.0 ELSE 0.0 END) * 100, 0), 4) AS hybrid_rate FROM l GROUP BY project_id")
+_RAGAS_SQL = ", ".join(f"round(coalesce(avg({k}), 0), 4) AS {k}" for k in RAGAS)
+
+
+@query(_LOG + f" SELECT project_id, count(*) AS queries, round(coalesce(avg(latency_ms), 0), 4) AS avg_latency, round(coalesce(avg(hallucination_score), 0), 4) AS hallucination, {_RAGAS_SQL}, round(coalesce(avg(compression_ratio), 0), 4) AS compression_ratio, round(coalesce(avg(cache_savings), 0), 4) AS cache_savings, round(coalesce(sum(CASE WHEN citations_shown > 0 THEN citations_clicked END) / CAST(nullif(sum(CASE WHEN citations_shown > 0 THEN citations_shown END), 0) AS DOUBLE), 0), 4) AS engagement, round(coalesce(avg(CASE WHEN used_hybrid_search THEN 1.0 ELSE 0.0 END) * 100, 0), 4) AS hybrid_rate FROM l GROUP BY project_id")
 def analytics_kpis(spark, sf_dir):
     return kpis(in_period(query_log(spark, sf_dir), "created_at"))
 
@@ -47,11 +62,15 @@ def analytics_models(spark, sf_dir):
     return in_period(query_log(spark, sf_dir), "created_at").groupBy("model_used").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"))
 
 
-@query(_LOG + " SELECT strftime(created_at, '%Y-%m-%d') AS day, round(avg(faithfulness), 4) AS faithfulness, round(avg(answer_relevance), 4) AS answer_relevance FROM l GROUP BY 1")
+def daily_quality(log: DataFrame) -> DataFrame:
+    """Eight averages a day; a day without a value stays null."""
+    each = {"hallucination": F.col("hallucination_score"), "faithfulness": F.col("faithfulness_score"), **{f"ragas_{k}": _ragas(k) for k in RAGAS}, "compression_ratio": _trace("compression_stats.compression_ratio")}
+    return log.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(*[F.round(F.avg(c), 4).alias(f"avg_{n}") for n, c in each.items()])
+
+
+@query(_LOG + " SELECT strftime(created_at, '%Y-%m-%d') AS day, round(avg(hallucination_score), 4) AS avg_hallucination, round(avg(faithfulness_score), 4) AS avg_faithfulness, " + ", ".join(f"round(avg({k}), 4) AS avg_ragas_{k}" for k in RAGAS) + ", round(avg(compression_ratio), 4) AS avg_compression_ratio FROM l GROUP BY 1")
 def analytics_quality_daily(spark, sf_dir):
-    """Days without a value stay null."""
-    r = lambda key: F.round(F.avg(F.get_json_object("ragas_scores", f"$.{key}").cast("double")), 4).alias(key)
-    return in_period(query_log(spark, sf_dir), "created_at").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(r("faithfulness"), r("answer_relevance"))
+    return daily_quality(in_period(query_log(spark, sf_dir), "created_at"))
 
 
 @query(_LOG + " SELECT project_id, round(avg(CASE WHEN answered THEN 1.0 ELSE 0.0 END) * 100, 4) AS success_rate, round(avg(attempts), 4) AS avg_attempts FROM l WHERE agentic GROUP BY 1")
@@ -67,11 +86,14 @@ def analytics_fallbacks(spark, sf_dir):
     return in_period(query_log(spark, sf_dir), "created_at").select(F.explode(F.slice(tried, F.lit(2), F.greatest(F.size(tried), F.lit(0)))).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-@query("SELECT strftime(timestamp, '%Y-%m-%d') AS day, model, count(*) AS requests, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens FROM {token_usage} GROUP BY GROUPING SETS ((), (strftime(timestamp, '%Y-%m-%d')), (model))")
+_PRICE_ROWS = ", ".join(f"('{p}', '{m}', {i}, {o})" for (p, m), (i, o) in PRICES.items())
+
+
+@query(f"WITH u AS (SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, t.model, input_tokens + output_tokens AS tok, coalesce(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout, 0) AS cost FROM {{token_usage}} t LEFT JOIN (VALUES {_PRICE_ROWS}) p(provider, model, pin, pout) USING (provider, model)) SELECT user_id, day, model, count(*) AS requests, CAST(sum(tok) AS BIGINT) AS tokens, round(sum(cost), 9) AS cost FROM u GROUP BY GROUPING SETS ((user_id), (user_id, day), (user_id, model))")
 def usage_summary_grouping_sets(spark, sf_dir):
-    """Totals, by day and by model in one scan."""
-    u = token_usage(spark, sf_dir).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
-    return u.groupingSets([[], ["day"], ["model"]], "day", "model").agg(F.count("*").alias("requests"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    """Each user's totals, by day and by model, in one scan."""
+    u = cost(token_usage(spark, sf_dir), None).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    return u.groupingSets([["user_id"], ["user_id", "day"], ["user_id", "model"]], "user_id", "day", "model").agg(F.count("*").alias("requests"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.round(F.sum("cost"), 9).alias("cost"))
 
 
 @query("SELECT project_id, id, filename FROM {document} WHERE is_active ORDER BY id DESC")
@@ -88,12 +110,22 @@ def page_offset_limit(spark, sf_dir):
     return page.crossJoin(F.broadcast(n)).select("id", "filename", "total", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / 20)).alias("pages"))
 
 
-@query("SELECT c_nationkey AS project_id, max(c_custkey) AS config_id FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+#: What a project without a configuration gets.
+DEFAULTS = {"chunk_size": 1000, "chunk_overlap": 200, "top_k": 4, "use_hybrid_search": True, "semantic_weight": 0.6}
+
+
+def latest_config(projects: DataFrame, configs: DataFrame) -> DataFrame:
+    """The latest active configuration (id, project_id, is_active, top_k) of each project (project_id), or the default one (id -1)."""
+    w = Window.partitionBy("project_id").orderBy(F.desc("id"))
+    live = configs.where("is_active").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "is_active")
+    return projects.join(live, "project_id", "left").withColumn("top_k", F.coalesce("top_k", F.lit(DEFAULTS["top_k"]))).select("project_id", F.coalesce("id", F.lit(-1)).alias("config_id"), "top_k")
+
+
+@query("SELECT n_nationkey AS project_id, coalesce(config_id, -1) AS config_id, CAST(coalesce(top_k, 4) AS INT) AS top_k FROM nation LEFT JOIN (SELECT c_nationkey AS project_id, max(c_custkey) AS config_id, arg_max(c_custkey % 9 + 1, c_custkey) AS top_k FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON project_id = n_nationkey")
 def config_latest(spark, sf_dir):
-    """The latest active configuration of each project."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_custkey"))
-    return c.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("config_id"))
+    """The latest active configuration of each project, the default one where there is none."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("project_id"), (F.col("c_acctbal") > 9000).alias("is_active"), (F.col("c_custkey") % 9 + 1).cast("int").alias("top_k"))
+    return latest_config(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id")), c)
 
 
 @query("SELECT c_custkey AS id, false AS is_active FROM customer UNION ALL SELECT c_custkey + 1000000, true FROM (SELECT max(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey)")
@@ -112,11 +144,94 @@ def config_patch(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), "c_mktsegment").join(patch, "id", "left").select("id", F.coalesce("new", "c_mktsegment").alias("segment"))
 
 
-@query("SELECT id, model_used FROM {query_log} WHERE project_id NOT IN (1, 3)")
-def cascade_delete_anti(spark, sf_dir):
-    """What stays in a table when projects 1 and 3 go."""
-    gone = spark.createDataFrame([(1,), (3,)], "project_id long")
-    return query_log(spark, sf_dir).join(F.broadcast(gone), "project_id", "left_anti").select("id", "model_used")
+def delete_projects(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What stays of each table when projects (project_id) go: logs, configurations, chunks of their documents, documents, messages of
+    their sessions, sessions, the projects themselves. Token usage stays."""
+    own = lambda df: df.join(gone, "project_id", "left_anti")
+    lost = lambda name, key: tables[name].join(gone, "project_id", "left_semi").select(F.col("id").alias(key))
+    out = {n: own(tables[n]) for n in ("query_log", "config", "document", "session", "project") if n in tables}
+    if "chunk" in tables:
+        out["chunk"] = tables["chunk"].join(lost("document", "document_id"), "document_id", "left_anti")
+    if "message" in tables:
+        out["message"] = tables["message"].join(lost("session", "session_id"), "session_id", "left_anti")
+    return out | ({"token_usage": tables["token_usage"]} if "token_usage" in tables else {})
+
+
+def _tables(spark, d) -> dict[str, DataFrame]:
+    t, docs = turns(spark, d), document(spark, d)
+    return {
+        "query_log": query_log(spark, d).select("id", "project_id"), "config": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 4).alias("project_id")), "document": docs.select("id", "project_id"),
+        "chunk": docs.select((F.col("id") * 10).alias("id"), F.col("id").alias("document_id")), "session": t.select(F.col("session_id").alias("id"), "project_id").distinct(), "message": t.select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), "session_id"),
+        "project": spark.range(4).select("id", F.col("id").alias("project_id")), "token_usage": token_usage(spark, d).select("id", "project_id"),
+    }
+
+
+_KEEP = "project_id NOT IN (1, 3)"
+
+
+@query(f"""SELECT 'query_log' AS tab, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {{query_log}} WHERE {_KEEP} UNION ALL SELECT 'config', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 4 NOT IN (1, 3)
+UNION ALL SELECT 'document', count(*), CAST(sum(id) AS BIGINT) FROM {{document}} WHERE {_KEEP} UNION ALL SELECT 'chunk', count(*), CAST(sum(id * 10) AS BIGINT) FROM {{document}} WHERE {_KEEP} UNION ALL SELECT 'session', count(*), CAST(sum(id) AS BIGINT) FROM (SELECT DISTINCT session_id AS id FROM {{turns}} WHERE {_KEEP})
+UNION ALL SELECT 'message', count(*), CAST(sum(session_id * 1000 + turn) AS BIGINT) FROM {{turns}} WHERE {_KEEP} UNION ALL SELECT 'project', 2, 2 UNION ALL SELECT 'token_usage', count(*), CAST(sum(id) AS BIGINT) FROM {{token_usage}}""")
+def cascade_delete(spark, sf_dir):
+    """Rows and sum of ids that stay in every table when projects 1 and 3 go."""
+    gone = F.broadcast(spark.createDataFrame([(1,), (3,)], "project_id long"))
+    out = None
+    for name, df in delete_projects(gone, _tables(spark, sf_dir)).items():
+        one = df.agg(F.lit(name).alias("tab"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rechunked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents (id, is_active, version, status) after requests (id, chunk_size, chunk_overlap): a valid request for an active document
+    counts its version up and sets it pending; the others say why not."""
+    fits = F.col("chunk_size").between(128, 8192) & F.col("chunk_overlap").between(0, 2048)
+    j = docs.join(wanted, "id", "full_outer")
+    answer = F.when(F.col("chunk_size").isNull(), None).when(F.col("is_active").isNull(), "404 document not found").when(~F.col("is_active"), "400 document is inactive").when(~fits, "422 size or overlap out of range").otherwise("reprocessing")
+    j = j.withColumn("answer", answer)
+    done = F.coalesce(F.col("answer") == "reprocessing", F.lit(False))
+    return j.select("id", F.when(done, F.coalesce("version", F.lit(1)) + 1).otherwise(F.coalesce("version", F.lit(0))).alias("version"), F.when(done, "pending").otherwise(F.col("status")).alias("status"), "answer")
+
+
+@query("""WITH d AS (SELECT id, is_active, CAST(id % 3 + 1 AS INT) AS version, CASE WHEN id % 8 = 0 THEN 'failed' ELSE 'completed' END AS status FROM {document}), w AS (SELECT p_partkey * 3 AS id, CAST(p_partkey % 9000 AS INT) AS s, CAST(p_partkey % 3 * 1024 AS INT) AS o FROM part),
+j AS (SELECT *, CASE WHEN s IS NULL THEN NULL WHEN is_active IS NULL THEN '404 document not found' WHEN NOT is_active THEN '400 document is inactive' WHEN NOT (s BETWEEN 128 AND 8192 AND o BETWEEN 0 AND 2048) THEN '422 size or overlap out of range' ELSE 'reprocessing' END AS answer FROM d FULL JOIN w USING (id))
+SELECT id, coalesce(CASE WHEN answer = 'reprocessing' THEN version + 1 ELSE version END, 0) AS version, CASE WHEN answer = 'reprocessing' THEN 'pending' ELSE status END AS status, answer FROM j""")
+def rechunk_requests(spark, sf_dir):
+    d = document(spark, sf_dir).select("id", "is_active", (F.col("id") % 3 + 1).cast("int").alias("version"), F.when(F.col("id") % 8 == 0, "failed").otherwise("completed").alias("status"))
+    w = table(spark, sf_dir, "part").select((F.col("p_partkey") * 3).cast("long").alias("id"), (F.col("p_partkey") % 9000).cast("int").alias("chunk_size"), (F.col("p_partkey") % 3 * 1024).cast("int").alias("chunk_overlap"))
+    return rechunked(d, w)
+
+
+@query("SELECT id, filename, CASE WHEN id % 8 = 0 THEN 'failed' ELSE 'completed' END AS status FROM {document} WHERE id = 17")
+def document_status(spark, sf_dir):
+    """Point lookup: the filter reaches the scan."""
+    return document(spark, sf_dir).where("id = 17").select("id", "filename", F.when(F.col("id") % 8 == 0, "failed").otherwise("completed").alias("status"))
+
+
+@query("SELECT project_id, 'There are ' || count(*) || ' documents in this project.' AS answer FROM {document} GROUP BY 1")
+def count_answers(spark, sf_dir):
+    """How many documents a project has, as an answer from metadata."""
+    return document(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.concat(F.lit("There are "), "n", F.lit(" documents in this project.")).alias("answer"))
+
+
+def own_sessions(said: DataFrame, user: DataFrame, project: int | None = None) -> DataFrame:
+    """Sessions of users (session_id, user_id), newest first, of one project if named."""
+    s = said.select("session_id", "project_id").distinct().join(user, "session_id")
+    return (s if project is None else s.where(F.col("project_id") == project)).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("session_id"))))
+
+
+@query("SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id ORDER BY session_id DESC) AS place FROM (SELECT DISTINCT session_id, session_id % 7 AS user_id FROM {turns} WHERE project_id = 2)")
+def sessions_own(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return own_sessions(t, t.select("session_id", (F.col("session_id") % 7).alias("user_id")).distinct(), 2).select("user_id", "session_id", "place")
+
+
+@query("SELECT session_id, count(*) AS n FROM {turns} WHERE NOT (session_id % 7 = 3 AND session_id % 5 = 0) GROUP BY 1")
+def session_delete(spark, sf_dir):
+    """A user deletes sessions: only own ones of the list go, with their messages."""
+    t = turns(spark, sf_dir)
+    listed = t.where("session_id % 5 = 0").select("session_id").distinct().where("session_id % 7 = 3")
+    return t.join(listed, "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT u_id, tool FROM (SELECT c_custkey AS u_id, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'client' END AS role FROM customer) JOIN (VALUES ('admin', 'search_documents'), ('client', 'search_documents'), ('admin', 'get_active_rag_config'), ('admin', 'get_document_sources')) t(role, tool) USING (role)")
@@ -133,15 +248,32 @@ def history_last_n(spark, sf_dir):
     return turns(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("session_id", "turn", "content").orderBy("session_id", "turn")
 
 
-@query("WITH s AS (SELECT DISTINCT project_id, session_id FROM {turns}), p AS (SELECT a.session_id AS own, b.session_id AS other, row_number() OVER (PARTITION BY a.session_id ORDER BY b.session_id DESC) AS n FROM s a JOIN s b ON a.project_id = b.project_id AND b.session_id BETWEEN a.session_id - 40 AND a.session_id - 1), m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k FROM {turns}) SELECT own, session_id, turn FROM p JOIN m ON m.session_id = other WHERE n <= 2 AND k <= 3")
+def context_sessions(sessions: DataFrame, newest: int = 2, named: DataFrame | None = None) -> DataFrame:
+    """(own, session_id): the sessions whose last messages go along with each one (session_id, project_id, user_id): the named ones
+    (own, session_id) of the same user, else the newest others of its project. The newest of a project are one short list, one longer
+    than asked for, as a session may be in it itself."""
+    top = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("session_id")))
+    newest_of = sessions.select("project_id", "session_id", top.alias("n")).where(F.col("n") <= newest + 1)
+    own = sessions.select(F.col("session_id").alias("own"), "project_id", "user_id")
+    if named is not None:
+        wanted = named.where("own <> session_id").join(own, "own").join(sessions.select("session_id", F.col("user_id").alias("whose")), "session_id").where("user_id = whose").select("own", "session_id")
+        own = own.join(named.select("own").distinct(), "own", "left_anti")
+    p = own.join(F.broadcast(newest_of), "project_id").where("own <> session_id")  # a short list a project
+    p = p.withColumn("k", F.row_number().over(Window.partitionBy("own").orderBy("n"))).where(F.col("k") <= newest).select("own", "session_id")
+    return p if named is None else p.unionByName(wanted)
+
+
+_SESSIONS = "s AS (SELECT DISTINCT project_id, session_id, session_id % 5 AS user_id FROM {turns}), e AS (SELECT session_id AS own, session_id + k AS other FROM s, (VALUES (0), (5), (7)) v(k) WHERE session_id % 4 = 1)"
+
+
+@query(f"WITH {_SESSIONS}, p AS (SELECT a.session_id AS own, b.session_id AS other FROM s a JOIN s b ON a.project_id = b.project_id AND a.session_id <> b.session_id WHERE a.session_id % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY a.session_id ORDER BY b.session_id DESC) <= 2 UNION ALL SELECT own, other FROM e JOIN s a ON a.session_id = own JOIN s b ON b.session_id = other WHERE own <> other AND a.user_id = b.user_id), m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k FROM {{turns}}) SELECT own, session_id, turn FROM p JOIN m ON m.session_id = other WHERE k <= 3")
 def context_last3(spark, sf_dir):
-    """The last three messages of the two newest earlier sessions of the project, looked for among the 40 numbers before."""
+    """The last three messages of the context sessions: a quarter of the sessions name theirs, the others take the two newest."""
     t = turns(spark, sf_dir)
-    s = t.select("project_id", "session_id").distinct().withColumn("_w", F.lit(1))
-    w = Window.partitionBy("project_id").orderBy("session_id").rangeBetween(-40, -1)
-    near = s.withColumn("o", F.slice(F.sort_array(F.collect_list("session_id").over(w), asc=False), 1, 2)).select(F.col("session_id").alias("own"), F.explode("o").alias("session_id"))
+    s = t.select("project_id", "session_id", (F.col("session_id") % 5).alias("user_id")).distinct()
+    named = s.where("session_id % 4 = 1").select(F.col("session_id").alias("own"), F.explode(F.array(*[F.col("session_id") + k for k in (0, 5, 7)])).alias("session_id"))
     last = t.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))).where("k <= 3")
-    return near.join(last, "session_id").select("own", "session_id", "turn")
+    return context_sessions(s, 2, named).join(last, "session_id").select("own", "session_id", "turn")
 
 
 _EPOCH = "CAST(epoch(timestamp) AS BIGINT)"
@@ -207,6 +339,26 @@ def citation_clicks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("clicks"))
 
 
-@query("SELECT event_type AS stage, count(*) AS runs, min(ts) AS started, max(ts) AS ended FROM events GROUP BY 1")
+def stage_times(marks: DataFrame) -> DataFrame:
+    """(trace, stage, status, us) from marks (trace, stage, kind, ts): microseconds from the first start to the last end, -1 without
+    both; failed where an error stands, running without an end."""
+    g = marks.groupBy("trace", "stage").agg(F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("a"), F.max(F.when(F.col("kind") != "start", F.col("ts"))).alias("b"), F.max((F.col("kind") == "error").cast("int")).alias("e"))
+    us = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
+    return g.select("trace", "stage", F.when(F.col("e") == 1, "failed").when(F.col("b").isNull(), "running").otherwise("completed").alias("status"), F.coalesce(us, F.lit(-1)).alias("us"))
+
+
+_MARK = "(['start', 'end', 'error', 'start'])[event_id % 4 + 1]"
+
+
+@query(f"WITH k AS (SELECT user_id AS trace, event_type AS stage, {_MARK} AS kind, ts FROM events), g AS (SELECT trace, stage, min(CASE WHEN kind = 'start' THEN ts END) AS a, max(CASE WHEN kind <> 'start' THEN ts END) AS b, max(CAST(kind = 'error' AS INT)) AS e FROM k GROUP BY ALL) SELECT trace, stage, CASE WHEN e = 1 THEN 'failed' WHEN b IS NULL THEN 'running' ELSE 'completed' END AS status, coalesce(epoch_us(b) - epoch_us(a), -1) AS us FROM g")
 def pipeline_stages(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    kind = F.element_at(F.array(*map(F.lit, ("start", "end", "error", "start"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return stage_times(table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), F.col("event_type").alias("stage"), kind.alias("kind"), "ts"))
+
+
+@query("SELECT document_id, content_hash, row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS idx FROM (SELECT id AS document_id, md5(unnest(l)) AS content_hash, unnest(range(len(l))) * 3 + 7 AS pos FROM (SELECT id, string_split(content, chr(10)) AS l FROM {document}))")
+def chunk_index_backfill(spark, sf_dir):
+    """Chunks without an index get one by their id within the document."""
+    c = document(spark, sf_dir).select(F.col("id").alias("document_id"), F.posexplode(F.split("content", "\n", -1)).alias("p", "l"))
+    c = c.select("document_id", F.md5(F.col("l").cast("binary")).alias("content_hash"), (F.col("p") * 3 + 7).alias("pos"))
+    return c.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("pos")) - 1).select("document_id", "content_hash", F.col("idx").cast("long").alias("idx"))

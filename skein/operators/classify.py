@@ -112,12 +112,17 @@ def constraints(q: Column) -> Column:
     every = lambda pats: F.filter(F.transform(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in pats])), lambda m: F.trim(m)), lambda m: m != "")
     when = lambda words: first_match(low, rf"(?:{words}) ([0-9]{{4}}|{MONTHS})")
     types = F.when(low.contains("in pdf"), F.array(F.lit("pdf"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.struct(every(EXCLUDED).alias("excluded"), when("after|since|from").alias("date_after"), when("before|until|up to").alias("date_before"), every(SOURCES).alias("sources"), types.alias("doc_types"))
+    excluded, after, before, sources = every(EXCLUDED), when("after|since|from"), when("before|until|up to"), every(SOURCES)
+    some = (F.size(excluded) > 0) | after.isNotNull() | before.isNotNull() | (F.size(sources) > 0) | (F.size(types) > 0)
+    return F.struct(excluded.alias("excluded"), after.alias("date_after"), before.alias("date_before"), sources.alias("sources"), types.alias("doc_types"), F.expr("cast(array() as array<struct<field:string,op:string,value:double>>)").alias("numeric_filters"), some.alias("has_constraints"))
 
 
-def output_format(q: Column) -> Column:
+def output_format(q: Column, intent: Column | None = None) -> Column:
+    """By phrases, then by the question's intent if given, then by its length."""
     low = F.lower(q)
     out = reduce(lambda acc, f: acc.when(has_any(low, f[1]), f[0]) if acc is not None else F.when(has_any(low, f[1]), f[0]), FORMATS, None)
+    if intent is not None:
+        out = out.when(intent.isin("analytical", "multi_hop"), "detailed").when(intent == "factoid", "concise")
     return out.when(n_words(q) <= 8, "concise").otherwise("detailed")
 
 
@@ -135,11 +140,12 @@ def keyword_list(q: Column) -> Column:
     return F.filter(words, lambda w: ~F.array_contains(strings(KEYWORD_STOPWORDS), w))
 
 
-def cost(df: DataFrame) -> DataFrame:
-    """Adds cost by provider and model; unknown ones cost nothing. The price list is a literal."""
+def cost(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Adds cost by provider and model, rounded to so many digits; unknown ones cost nothing. The price list is a literal."""
     price = F.create_map(*[x for (p, m), io in PRICES.items() for x in (F.lit(f"{p}/{m}"), F.array(*map(F.lit, io)))])
     got = F.try_element_at(price, F.concat_ws("/", "provider", "model"))
-    return df.withColumn("cost", F.coalesce(F.round(F.col("input_tokens") / 1e6 * got[0] + F.col("output_tokens") / 1e6 * got[1], 6), F.lit(0.0)))
+    raw = F.col("input_tokens") / 1e6 * got[0] + F.col("output_tokens") / 1e6 * got[1]
+    return df.withColumn("cost", F.coalesce(raw if digits is None else F.round(raw, digits), F.lit(0.0)))
 
 
 def _sql_any(words, col="low"):
@@ -204,12 +210,20 @@ def query_needs_rewriting(spark, sf_dir):
 _ALL = lambda pats: "array_to_string(list_filter(list_transform(flatten([" + ", ".join(f"regexp_extract_all(low, '{p}', 1)" for p in pats) + "]), lambda m: trim(m)), lambda m: m <> ''), ',')"
 
 
-@query(f"{_QS} SELECT qid, {_ALL(EXCLUDED)} AS excluded, {_ALL(SOURCES)} AS sources, nullif(regexp_extract(low, '(?:after|since|from) ([0-9]{{4}}|{MONTHS})', 1), '') AS date_after, nullif(regexp_extract(low, '(?:before|until|up to) ([0-9]{{4}}|{MONTHS})', 1), '') AS date_before, contains(low, 'in pdf') AS pdf FROM (SELECT qid, lower(q) AS low FROM b)")
+_CONSTRAINTS = f"{_QS} SELECT qid, {_ALL(EXCLUDED)} AS excluded, {_ALL(SOURCES)} AS sources, nullif(regexp_extract(low, '(?:after|since|from) ([0-9]{{4}}|{MONTHS})', 1), '') AS date_after, nullif(regexp_extract(low, '(?:before|until|up to) ([0-9]{{4}}|{MONTHS})', 1), '') AS date_before, contains(low, 'in pdf') AS pdf FROM (SELECT qid, lower(q) AS low FROM b)"
+
+
+@query(_CONSTRAINTS)
 def constraint_extract(spark, sf_dir):
     c = questions(spark, sf_dir).select("qid", constraints(F.col("q")).alias("c"))
     return c.select("qid", F.array_join("c.excluded", ",").alias("excluded"), F.array_join("c.sources", ",").alias("sources"), "c.date_after", "c.date_before", (F.size("c.doc_types") > 0).alias("pdf"))
 
 
+@query(f"SELECT qid, excluded <> '' OR sources <> '' OR date_after IS NOT NULL OR date_before IS NOT NULL OR pdf AS has_constraints FROM ({_CONSTRAINTS})")
+def constraint_flags(spark, sf_dir):
+    return questions(spark, sf_dir).select("qid", constraints(F.col("q")).alias("c")).select("qid", "c.has_constraints")
+
+
 _FMT = "CASE " + " ".join(f"WHEN {_sql_any(w)} THEN '{f}'" for f, w in FORMATS) + " WHEN n <= 8 THEN 'concise' ELSE 'detailed' END"
 
 
@@ -238,7 +252,7 @@ def keyword_set(spark, sf_dir):
 _PR = ", ".join(f"('{p}', '{m}', {i}, {o})" for (p, m), (i, o) in PRICES.items())
 
 
-@query(f"SELECT model, count(*) AS n, CAST(round(sum(coalesce(round(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout, 6), 0)), 4) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
+@query(f"SELECT model, count(*) AS n, CAST(round(sum(CAST(coalesce(round(CAST(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout AS DECIMAL(18,9)), 6), 0) AS DOUBLE)), 4) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
 def cost_by_model(spark, sf_dir):
     return cost(token_usage(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
 

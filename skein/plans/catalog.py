@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import ORACLES, QUERIES
-from ..operators import analytics, chunking, classify, evidence, retrieval, tools  # noqa: F401
+from ..operators import analytics, assist, chunking, classify, costs, evidence, retrieval, tools  # noqa: F401
 
 
 def queries() -> dict:

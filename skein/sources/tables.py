@@ -36,8 +36,9 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("project_id"), "user_id", F.col("event_type").alias("model_used"), F.col("value").alias("latency_ms"), F.col("ts").alias("created_at"),
-        k.alias("k"), (k % 2 == 0).alias("used_hybrid_search"), F.when(k % 3 != 0, F.to_json(F.struct((k % 10 / 10.0).alias("faithfulness"), (k % 7 / 7.0).alias("answer_relevance")))).alias("ragas_scores"),
-        F.when(k % 4 == 0, F.to_json(F.struct(F.lit(True).alias("agentic"), (k % 8 == 0).alias("answered"), (k % 3 + 1).alias("attempts"), F.slice(F.array(F.lit("semantic"), F.lit("hybrid"), F.lit("decomposed")), 1, k % 3 + 1).alias("strategies_tried")))).alias("pipeline_trace"),
+        k.alias("k"), (k % 2 == 0).alias("used_hybrid_search"), F.when(k % 3 != 0, F.to_json(F.struct((k % 10 / 10.0).alias("faithfulness"), (k % 7 / 7.0).alias("answer_relevance"), F.when(k % 2 == 0, k % 9 / 8.0).alias("context_relevance"), (k % 4 / 4.0).alias("groundedness"), (k % 5 / 5.0).alias("overall_score")))).alias("ragas_scores"),
+        F.when(k % 5 != 0, k % 6 / 6.0).alias("hallucination_score"), F.when(k % 7 != 0, k % 8 / 8.0).alias("faithfulness_score"),
+        F.when(k % 4 == 0, F.to_json(F.struct(F.lit(True).alias("agentic"), (k % 8 == 0).alias("answered"), (k % 3 + 1).alias("attempts"), F.slice(F.array(F.lit("semantic"), F.lit("hybrid"), F.lit("decomposed")), 1, k % 3 + 1).alias("strategies_tried"), F.when(k % 8 == 0, F.struct((k % 11 / 11.0).alias("compression_ratio"))).alias("compression_stats"), F.struct((k % 13).alias("estimated_monthly_savings_usd")).alias("prompt_cache_info")))).alias("pipeline_trace"),
         (k % 5).alias("citations_shown"), F.least(k % 3, k % 5).alias("citations_clicked"),
     )
 
@@ -89,7 +90,8 @@ _Q = ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumera
 MODEL_SQL = {
     "document": "(SELECT doc_id AS id, CAST(substr(source, 4) AS INT) % 4 AS project_id, source || '/doc_' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.md' WHEN 3 THEN '.txt' ELSE '.html' END AS filename, doc_id % 10 <> 9 AS is_active, doc_id % 365 AS upload_day, text AS content FROM documents)",
     "query_log": """(SELECT event_id AS id, user_id % 4 AS project_id, user_id, event_type AS model_used, value AS latency_ms, ts AS created_at, k, k % 2 = 0 AS used_hybrid_search,
-        CASE WHEN k % 3 <> 0 THEN (k % 10) / 10.0 END AS faithfulness, CASE WHEN k % 3 <> 0 THEN (k % 7) / 7.0 END AS answer_relevance, k % 4 = 0 AS agentic, k % 8 = 0 AS answered, k % 3 + 1 AS attempts,
+        CASE WHEN k % 3 <> 0 THEN (k % 10) / 10.0 END AS faithfulness, CASE WHEN k % 3 <> 0 THEN (k % 7) / 7.0 END AS answer_relevance, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN (k % 9) / 8.0 END AS context_relevance, CASE WHEN k % 3 <> 0 THEN (k % 4) / 4.0 END AS groundedness, CASE WHEN k % 3 <> 0 THEN (k % 5) / 5.0 END AS overall_score,
+        CASE WHEN k % 5 <> 0 THEN (k % 6) / 6.0 END AS hallucination_score, CASE WHEN k % 7 <> 0 THEN (k % 8) / 8.0 END AS faithfulness_score, CASE WHEN k % 8 = 0 THEN (k % 11) / 11.0 END AS compression_ratio, CASE WHEN k % 4 = 0 THEN CAST(k % 13 AS DOUBLE) END AS cache_savings, k % 4 = 0 AS agentic, k % 8 = 0 AS answered, k % 3 + 1 AS attempts,
         CASE WHEN k % 4 = 0 THEN list_slice(['semantic', 'hybrid', 'decomposed'], 1, k % 3 + 1) END AS strategies_tried, k % 5 AS citations_shown, least(k % 3, k % 5) AS citations_clicked
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""",
     "turns": "(SELECT conv_id AS session_id, turn, role, text AS content, conv_id % 4 AS project_id FROM conversations)",

@@ -11,7 +11,7 @@ import pandas as pd
 def norm(v):
     if isinstance(v, (list, np.ndarray)):
         return "[" + ",".join(map(norm, v)) + "]"
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "~"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
