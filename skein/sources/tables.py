@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def upload_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Uploaded files as rows: path, document_hash of the raw bytes, content decoded as UTF-8 with replacement."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return raw.select("path", F.sha2("content", 256).alias("document_hash"), "length", F.decode("content", "UTF-8").alias("content"))
+    return raw.select("path", F.sha2("content", 256).alias("document_hash"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:

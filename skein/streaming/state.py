@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunking import pack_sentences, redact
 
@@ -35,20 +37,40 @@ def ingest(stream: DataFrame, target: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cached_answers(stream: DataFrame, ttl_s: int = 3600) -> DataFrame:
-    """(key, ts, hit): a key is a hit if it was seen within the time to live; state is one timestamp a key."""
+#: Keyed state with timers needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            out = []
-            for t in pdf["ts"]:
-                now = int(t.timestamp())
-                out.append((key[0], t, last is not None and now - last <= ttl_s))
-                last = now
-            yield pd.DataFrame(out, columns=["key", "ts", "hit"])
+
+class _LastSeen(StatefulProcessor):
+    """One timestamp a key; a timer clears it when the watermark has passed its time to live."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_s = ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        for pdf in rows:
+            t = np.sort(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64))
+            before = np.concatenate([[t[0] if last is None else last], t[:-1]])
+            hit = t - before <= self.ttl_s * 1_000_000
+            hit[0] &= last is not None
+            last = int(max(t[-1], before[0]))
+            yield pd.DataFrame({"key": key[0], "ts": t.astype("datetime64[us]"), "hit": hit})
         if last is not None:
-            state.update((last,))
+            self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.ttl_s * 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.last.exists() and self.last.get()[0] // 1000 + self.ttl_s * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hit boolean", "last long", "append", "NoTimeout")
+def cached_answers(stream: DataFrame, ttl_s: int = 3600, late: str = "2 hours") -> DataFrame:
+    """(key, ts, hit) of lookups (key, ts): a hit if the key was looked up within the time to live before. State is one timestamp a key,
+    released when the watermark has passed it. The session's state store must be STATE_STORE."""
+    return stream.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_LastSeen(ttl_s), "key string, ts timestamp, hit boolean", "Append", "EventTime")

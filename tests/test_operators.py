@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, evidence, index, retrieval, tools
+from skein.operators import chunking, costs, evidence, index, retrieval, tools
 from skein.streaming import state
 
 
@@ -93,3 +93,92 @@ def test_streams(spark, tmp_path):
     state.ingest(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 2 and any("[REDACTED:EMAIL_ADDRESS]" in r["chunk"] for r in got)
+
+
+def test_cached_answers_release_state(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:50:00"), ("a", "2024-01-01 03:00:00"), ("b", "2024-01-01 01:00:00"), ("a", "2024-01-01 03:59:59")]
+    d = spark.createDataFrame(rows, "key string, t string").select("key", F.col("t").cast("timestamp").alias("ts"))
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set(*state.STATE_STORE)
+    try:
+        q = state.cached_answers(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("hits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {(r["key"], r["ts"].strftime("%H:%M")): r["hit"] for r in spark.sql("SELECT * FROM hits").collect()}
+    finally:
+        spark.conf.unset(state.STATE_STORE[0])
+    assert got == {("a", "00:00"): False, ("a", "00:50"): True, ("a", "03:00"): False, ("a", "03:59"): True, ("b", "01:00"): False}
+
+
+def test_session_counts(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src.write.parquet(str(tmp_path / "in"))
+    q = state.session_counts(state.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("sc").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT sum(n) FROM sc").first()[0] == src.count()
+
+
+def test_alike_texts_against_all_pairs(spark):
+    import itertools
+    import math
+    import random
+
+    r = random.Random(3)
+    texts = sorted({" ".join(r.choice(["the", "of", "cat", "dog", "red", "sun", f"w{r.randint(0, 9)}"]) for _ in range(r.randint(1, 6))) for _ in range(120)})
+    vec, n = [], len(texts)
+    df = {w: sum(w in t.split() for t in texts) for t in texts for w in t.split()}
+    for t in texts:
+        ws = t.split()
+        v = {w: ws.count(w) / len(ws) * (math.log((n + 1) / (df[w] + 1)) + 1) for w in ws}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vec.append({w: x / norm for w, x in v.items()})
+    want = {(i, j): round(s, 6) for i, j in itertools.combinations(range(n), 2) if round(s := sum(x * vec[j].get(w, 0) for w, x in vec[i].items()), 6) >= 0.75}
+    got = costs.alike(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
+    assert {(x["a"], x["b"]): x["sim"] for x in got} == pytest.approx(want) and len(want) > 20
+
+
+def test_keywords_in_blocks_equal_one_block(spark):
+    docs = spark.createDataFrame([(1, 0, "The Cathedral opens", "a"), (2, 0, "a cat sat", "b"), (3, 1, "cat", "c"), (4, 0, None, "d")], "id long, grp long, text string, source string")
+    q = spark.createDataFrame([(10, 0, ["cat", "cat", "xyz"]), (11, 1, ["cat", "open"]), (12, 0, ["open"]), (13, 0, [])], "query_id long, grp long, keywords array<string>")
+    one, many = (sorted(map(tuple, evidence.keyword_matches(docs, q, block=b).select("query_id", "id").collect())) for b in (100, 1))
+    assert one == many == [(10, 1), (10, 2), (11, 3), (12, 1)]
+    got = {r["query_id"]: tuple(r)[1:] for r in evidence.absence(docs, q).collect()}
+    assert got[10] == (3, 2, 2, "1,2") and got[13] == (3, 0, 0, "") and got[11] == (1, 1, 1, "3")
+    assert evidence.keyword_matches(docs, q.where("query_id = 13")).count() == 0
+
+
+def test_sinks_and_tables(spark, tmp_path):
+    from skein.sources import store
+
+    root = str(tmp_path / "db")
+    store.create_tables(spark, root)
+    store.create_tables(spark, root)
+    assert store.stored(spark, root, "query_log").count() == 0
+    store.append(spark.createDataFrame([(1, 2, 9)], "id int, project_id int, other int"), root, "query_log")
+    store.append(spark.createDataFrame([(2,)], "id int"), root, "query_log")
+    r = store.stored(spark, root, "query_log").orderBy("id").collect()
+    assert [(x["id"], x["project_id"], x["model_used"]) for x in r] == [(1, 2, None), (2, None, None)]
+    store.clear(spark, root, "query_log")
+    assert store.stored(spark, root, "query_log").count() == 0
+
+
+def test_uploads_are_decoded(spark, tmp_path):
+    from skein.sources import tables
+
+    (tmp_path / "a.txt").write_bytes("héllo".encode() + b"\xff")
+    (tmp_path / "b.md").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in tables.upload_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "héllo\ufffd", "b.md": ""}
+
+
+def test_constraints_back_off(spark):
+    rows = spark.createDataFrame([(1, 1, "alpha beta", "x.pdf"), (1, 2, "beta", "hr.md"), (2, 3, "alpha", "x.md"), (3, 4, "beta", "y.md"), (3, 5, None, None)], "query_id int, id int, text string, source string")
+    arr = lambda *x: F.array(*map(F.lit, x)) if x else F.expr("cast(array() as array<string>)")
+    keep = lambda *a: sorted(r["id"] for r in retrieval.apply_constraints(rows, *a).collect())
+    assert keep(arr("alpha"), arr(), arr()) == [2, 3, 4, 5] and keep(arr(), arr("hr"), arr()) == [2, 3, 4, 5]
+    assert keep(arr(), arr("beta"), arr("pdf")) == [1, 3, 4] and keep(arr(), arr(), arr()) == [1, 2, 3, 4, 5]
+
+
+def test_sentence_compression_keeps_one(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "zebra", "one two three four. five six seven eight."), (1, 2, 2, "zebra", ""), (1, 3, 3, "zebra", "the zebra runs very fast. nothing else is said here.")], "query_id int, id int, rank int, q string, chunk string")
+    got = {r["id"]: r for r in evidence.compress(rows, "q", "chunk", least_sentences=1).collect()}
+    assert got[2]["compressed"] == "" and got[2]["kept"] == 0 and "zebra" in got[3]["compressed"] and got[1]["kept"] >= 1
