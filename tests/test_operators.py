@@ -165,9 +165,9 @@ def test_uploads_are_decoded(spark, tmp_path):
     from skein.sources import tables
 
     (tmp_path / "a.txt").write_bytes("héllo".encode() + b"\xff")
-    (tmp_path / "b.md").write_bytes(b"")
+    (tmp_path / "b.md").write_bytes(b"x")
     got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in tables.upload_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "héllo\ufffd", "b.md": ""}
+    assert got == {"a.txt": "héllo\ufffd", "b.md": "x"}
 
 
 def test_constraints_back_off(spark):
