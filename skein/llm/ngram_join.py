@@ -382,16 +382,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents less those whose group has a row with a smaller (id, digests); of rows equal in both one stays."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
-    alone = found.where("n_links = 0").select("id", "a", "b", F.lit(1).cast("long").alias("n"))
-    first = found.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("id", "a", "b")).alias("k"))
-    first = first.select("k.*").join(found.groupBy("id", "a", "b").agg(F.count("*").alias("n")).withColumnRenamed("id", "i2"), ["a", "b"]).where(F.col("id").eqNullSafe(F.col("i2"))).drop("i2")
-    i, a, b, n = fresh(docs, "_i", "_a", "_b", "_n")
-    keep = cut(alone.unionByName(first.select("id", "a", "b", "n"))).select(F.col("id").alias(i), F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(n))
+    """The documents less those whose group has a row with a smaller (id, digests); of rows equal in both one stays. What goes is
+    looked up in the documents, not what stays, as it is the smaller side."""
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options)).select("id", "a", "b", "class_id", "n_links")
+    rows = found.groupBy("id", "a", "b", "class_id").agg(F.count("*").alias("n"), F.max("n_links").alias("n_links"))
+    linked = cut(rows.where("n_links > 0"))
+    first = linked.groupBy("class_id").agg(F.min(F.struct("id", "a", "b")).alias("k")).select("class_id", "k")
+    marked = linked.join(first, "class_id").select("id", "a", "b", "n", F.struct("id", "a", "b").eqNullSafe(F.col("k")).alias("stays"))
+    i, a, b = fresh(docs, "_i", "_a", "_b")
+    named = lambda df: df.select(F.col("id").alias(i), F.col("a").alias(a), F.col("b").alias(b))
     t = text_or_empty(text_col)
-    rows = docs.join(broadcast_if_small(keep), (F.xxhash64(t) == F.col(a)) & (F.xxhash64(F.lit("k"), t) == F.col(b)) & F.col(id_col).eqNullSafe(F.col(i)))
-    return rows.where(F.col(n) == 1).drop(i, a, b, n).unionByName(rows.where(F.col(n) > 1).dropDuplicates([id_col, a, b]).drop(i, a, b, n))
+    same = lambda: (F.xxhash64(t) == F.col(a)) & (F.xxhash64(F.lit("k"), t) == F.col(b)) & F.col(id_col).eqNullSafe(F.col(i))
+    kept = docs.join(broadcast_if_small(cut(named(marked.where("NOT stays")))), same(), "left_anti")
+    twins = cut(named(marked.where("stays AND n > 1")))
+    if twins.isEmpty():
+        return kept
+    twins = broadcast_if_small(twins)
+    return kept.join(twins, same(), "left_anti").unionByName(kept.join(twins, same()).dropDuplicates([id_col, a, b]).drop(i, a, b))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
