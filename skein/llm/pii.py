@@ -6,8 +6,9 @@ its own line included. For a term t and a value e, the corpus gives n(e, t) cont
 ``prior``, and t discloses e with log2(P(e | t) / P(e)) bits. A term with P(e | t) of ``share`` or more and ``bits`` or more is a
 finding of kind ``term`` wherever it stands; it is generalised or removed. DataFrame functions only.
 
-Defined results: null text counts as empty and has no spans; equal rows give equal results; spans count code points, end exclusive.
-Base patterns look back to where a run begins and are possessive, so that very long runs cost linear time; they match as the plain ones do.
+Defined results: null and empty texts have no spans; equal rows give equal results, and a line that repeats counts once; spans count code
+points, end exclusive, and of equal starts the kind listed first comes first; an empty table gives no rows; helper columns take names
+that the table does not have. Very long texts are searched whole: base patterns look back to where a run begins and are possessive, so that very long runs cost linear time; they match as the plain ones do.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_or_empty
+from .common import broadcast_if_small, cut, fresh, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -133,30 +134,33 @@ def disclosing_terms(found: DataFrame, share: float = 0.8, bits: float = 4.0, re
 def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii", share: float = 0.8, bits: float = 4.0, reach: int = 3, prior: float = 0.5) -> DataFrame:
     """Adds ``out``: array of (start, kind's place in KINDS, end, value), by start, then kind."""
     t = text_or_empty(text_col)
+    base, a, b, listed = fresh(docs, "_base", "_a", "_b", "_terms")
     found = docs.select(t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     terms_found = disclosing_terms(found, share, bits, reach, prior).select("term").distinct()
-    base = docs.withColumn("_base", base_spans(t))
+    with_base = docs.withColumn(base, base_spans(t))
     if terms_found.isEmpty():
-        return base.withColumn(out, F.col("_base")).drop("_base")
+        return with_base.withColumn(out, F.col(base)).drop(base)
     named = broadcast_if_small(cut(terms_found))
-    where = docs.select(F.xxhash64(t).alias("_a"), F.xxhash64(F.lit("k"), t).alias("_b"), F.explode(terms(t)).alias("term")).join(named, "term", "left_semi").distinct()
-    listed = cut(where.groupBy("_a", "_b").agg(F.sort_array(F.collect_set("term")).alias("_terms")))
-    rows = base.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.xxhash64(F.lit("k"), t)).join(broadcast_if_small(listed), ["_a", "_b"], "left")
-    pattern = F.concat(F.lit(rf"(?iu)(?<![{_TERM}])(?:"), F.array_join("_terms", "|"), F.lit(rf")(?![{_TERM}])"))
-    extra = F.when(F.col("_terms").isNotNull(), spans_of(t, pattern, 4, lambda m: F.lit(True))).otherwise(_none())
-    free = F.filter(extra, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return rows.withColumn(out, F.array_sort(F.concat("_base", free))).drop("_a", "_b", "_terms", "_base")
+    digests = F.xxhash64(t), F.xxhash64(F.lit("k"), t)
+    where = docs.select(digests[0].alias(a), digests[1].alias(b), F.explode(terms(t)).alias("term")).join(named, "term", "left_semi").distinct()
+    where = cut(where.groupBy(a, b).agg(F.sort_array(F.collect_set("term")).alias(listed)))
+    rows = with_base.join(broadcast_if_small(where), (digests[0] == F.col(a)) & (digests[1] == F.col(b)), "left")
+    pattern = F.concat(F.lit(rf"(?iu)(?<![{_TERM}])(?:"), F.array_join(listed, "|"), F.lit(rf")(?![{_TERM}])"))
+    extra = F.when(F.col(listed).isNotNull(), spans_of(t, pattern, 4, lambda m: F.lit(True))).otherwise(_none())
+    free = F.filter(extra, lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    return rows.withColumn(out, F.array_sort(F.concat(F.col(base), free))).drop(a, b, listed, base)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", generalise: bool = True, **options) -> DataFrame:
     """Replaces findings in the text: base ones by their kind in brackets, terms by ``[TERM]`` (or removes them)."""
-    rows = find_personal_data(docs, text_col, "_pii", **options)
+    (pii,) = fresh(docs, "_pii")
+    rows = find_personal_data(docs, text_col, pii, **options)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     word = lambda s: F.when((s["kind"] == 4) & (not generalise), F.lit("")).otherwise(F.element_at(labels, s["kind"] + 1))
     t = F.col(text_col)
-    kept = F.aggregate("_pii", F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")), lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
+    kept = F.aggregate(pii, F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")), lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
         F.struct(F.concat(a["text"], t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), word(s)).alias("text"), s["end"].alias("at"))))
-    return rows.withColumn(text_col, F.when(F.size("_pii") > 0, F.concat(kept["text"], t.substr((kept["at"] + 1).cast("int"), F.length(t)))).otherwise(t)).drop("_pii")
+    return rows.withColumn(text_col, F.when(F.size(pii) > 0, F.concat(kept["text"], t.substr((kept["at"] + 1).cast("int"), F.length(t)))).otherwise(t)).drop(pii)
 
 
 def _is(kind: int):
