@@ -8,7 +8,10 @@ interval the first suffix (by id, then line) stays; the lines under the others a
 of these is what maximal repeated runs of ``min_words`` or more words cover beyond their first place. DataFrame functions only.
 
 Defined results: null texts stay null and have no lines; empty texts have one empty line, which is never deleted alone; rows equal
-in id and text count as one document and keep the same lines; documents that end up without any line have text ''.
+in id and text count as one document and keep the same lines; documents that end up without any line have text ''; of equal runs the
+one of the least (id, digests, line) stays, a null id first; very long texts take as many rounds of doubling as runs of ``min_words`` words
+have lines, which is bounded by that number and by empty lines among them; an empty table gives no rows; helper columns take names
+that the table does not have.
 """
 
 from __future__ import annotations
