@@ -2,10 +2,12 @@
 
 Every line start is a suffix of the corpus' sequence of line ids. Round 0 ranks suffixes by their first line; round k + 1
 ranks them by (rank at i, rank at i + 2^k), so that ranks order the first 2^(k+1) lines. Only suffixes whose rank is shared
-go on. The depth that matters for a suffix is the least number of lines that hold ``min_words`` words: the interval of
-suffixes with a common prefix of that depth is named by the two overlapping ranks of 2^k lines that cover it. In each
-interval the first suffix (by id, then line) stays; the lines under the others are later copies and are deleted. The union
-of these is what maximal repeated runs of ``min_words`` or more words cover beyond their first place. DataFrame functions only.
+go on. Suffixes with a common prefix of a given depth are an interval of the array, named by the two overlapping ranks of 2^k
+lines that cover it. The depths looked at are those of the shortest runs of ``min_words`` words from each line on, and of the
+shortest ones up to each line; any repeated run of so many words is a union of such. In each interval the first suffix (by id, then
+line) stays; the others, chained where they and their firsts go on together, are the maximal repeated runs with their first
+places (``repeated_runs``). Their lines are later copies and are deleted: a line goes if and only if it lies in a run of
+``min_words`` or more words that stands somewhere before. DataFrame functions only.
 
 Defined results: null texts stay null and have no lines; empty texts have one empty line, which is never deleted alone; rows equal
 in id and text count as one document and keep the same lines; documents that end up without any line have text ''; of equal runs the
@@ -43,8 +45,9 @@ def _ranked(counts: DataFrame, first: Column, second: Column, base: Column) -> D
     return rows.withColumn("rank", F.col("_in") + F.col("_before") + (F.lit(0) if base is None else base)).drop("_f", "_s", "_blk", "_in", "_before")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, a, b, positions): the sorted line numbers to delete from each document that loses any."""
+def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, a, b, start, lines, first): the maximal later copies of runs of ``min_words`` words or more, with the place (id, a, b, pos) of
+    the first copy of their beginning."""
     key = ["id", "a", "b"]
     lines = lines_of(docs, id_col, text_col)
     # Round 0: lines that occur once cannot be in a repeated run.
@@ -54,39 +57,57 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     active = lines.join(first, ["h1", "h2"]).select(*key, "pos", "rank", "words")
     doc = Window.partitionBy(*key)
     active = active.withColumn("_run", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
-    run = Window.partitionBy(*key, "_run").orderBy("pos")
     run = Window.partitionBy(*key, "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     active = active.withColumn("_before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     # The last line that begins before the min_words-th word from here on; it ends the run if there are so many words.
     ahead = Window.partitionBy(*key, "_run").orderBy("_before").rangeBetween(0, min_words - 1)
     active = active.withColumn("_last", F.max("pos").over(ahead)).withColumn("_upto", F.max(F.col("_before") + F.col("words")).over(ahead))
-    depth = F.when(F.col("_upto") - F.col("_before") >= min_words, F.col("_last") - F.col("pos") + 1)
-    state = cut(active.select(*key, "pos", "rank", depth.alias("depth")))
+    enough = F.col("_upto") - F.col("_before") >= min_words
+    active = active.withColumn("_end", F.when(enough, F.col("_last")))
+    # Runs that are shortest up to their last line: those from here on that end before the shortest one from the next line does.
+    after = F.lead("_end").over(Window.partitionBy(*key, "_run").orderBy("pos"))
+    final = F.max("pos").over(Window.partitionBy(*key, "_run"))
+    active = active.withColumn("_more", F.coalesce(after - 1, final))
+    ends = F.when(F.col("_end").isNull(), F.expr("cast(array() as array<int>)")).otherwise(F.sequence("_end", F.greatest("_end", "_more")))
+    state = cut(active.select(*key, "pos", "rank", F.transform(ends, lambda e: (e - F.col("pos") + 1).cast("int")).alias("depths")))
     found, k = [], 0
     while True:
         size = 1 << k
-        done = state.where((F.col("depth") >= size) & (F.col("depth") < 2 * size))
+        done = state.select(*key, "pos", "rank", F.explode(F.filter("depths", lambda d: (d >= size) & (d < 2 * size))).alias("depth"))
         tail = state.select(*key, F.col("pos").alias("_p"), F.col("rank").alias("rank2"))
         here = done.withColumn("_p", F.col("pos") + F.col("depth") - size).join(tail, [*key, "_p"]) if k else done.withColumn("rank2", F.col("rank"))
         found.append(_later(here, key))
-        if state.where(F.col("depth") >= 2 * size).isEmpty():
+        if state.where(F.array_max("depths") >= 2 * size).isEmpty():
             break
         # Doubling: pairs of ranks; those that occur once are settled.
         pair = state.join(tail.withColumn("pos", F.col("_p") - size).drop("_p"), [*key, "pos"])
         counts = pair.groupBy("rank", "rank2").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("rank", "r1")
         new = _ranked(counts, F.col("r1"), F.col("rank2"), F.col("r1")).select(F.col("r1"), "rank2", F.col("rank").alias("new"))
-        state = cut(pair.withColumnRenamed("rank", "r1").join(new, ["r1", "rank2"]).select(*key, "pos", F.col("new").alias("rank"), "depth"))
+        state = cut(pair.withColumnRenamed("rank", "r1").join(new, ["r1", "rank2"]).select(*key, "pos", F.col("new").alias("rank"), "depths"))
         k += 1
-    gone = reduce(DataFrame.unionByName, found)
-    gone = gone.select(*key, F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos")).distinct()
-    return gone.groupBy(*key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    later = reduce(DataFrame.unionByName, found)
+    # Copies that go on together with their firsts overlap; they are chained to the run that they make.
+    together = Window.partitionBy(*key, "first.id", "first.a", "first.b", "shift").orderBy("pos")
+    later = later.withColumn("shift", F.col("pos") - F.col("first.pos")).withColumn("end", F.col("pos") + F.col("depth"))
+    opens = F.coalesce(F.col("pos") > F.max("end").over(together.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    chained = later.withColumn("opens", opens).withColumn("chain", F.sum(F.col("opens").cast("int")).over(together))
+    runs = chained.groupBy(*key, F.col("first.id").alias("f_id"), F.col("first.a").alias("f_a"), F.col("first.b").alias("f_b"), "shift", "chain").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
+    first = F.struct(F.col("f_id").alias("id"), F.col("f_a").alias("a"), F.col("f_b").alias("b"), (F.col("start") - F.col("shift")).alias("pos"))
+    return runs.select(*key, "start", (F.col("end") - F.col("start")).alias("lines"), first.alias("first"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, a, b, positions): the sorted line numbers to delete from each document that loses any."""
+    runs = repeated_runs(docs, min_words, id_col, text_col)
+    gone = runs.select("id", "a", "b", F.explode(F.sequence("start", F.col("start") + F.col("lines") - 1)).alias("pos")).distinct()
+    return gone.groupBy("id", "a", "b").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def _later(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of each interval (depth, rank, rank2) but the first. The first of a hot interval is found by a partial minimum."""
+    """The rows of each interval (depth, rank, rank2) but the first, with it. The first of a hot interval is found by a partial minimum."""
     at = F.struct(*key, "pos")
-    firsts = rows.groupBy("depth", "rank", "rank2").agg(F.min(at).alias("_first"))
-    return rows.join(firsts, ["depth", "rank", "rank2"]).where(at != F.col("_first")).select(*key, "pos", "depth")
+    firsts = rows.groupBy("depth", "rank", "rank2").agg(F.min(at).alias("first"))
+    return rows.join(firsts, ["depth", "rank", "rank2"]).where(~at.eqNullSafe(F.col("first"))).select(*key, "pos", "depth", "first")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", out: str = "lines_removed") -> DataFrame:
@@ -107,15 +128,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), "lines_removed", F.sha2(text_or_empty(), 256).alias("text_sha256"))
 
 
-#: Blocks of consecutive lines, each the shortest from its start with 50 words; later copies of a block lose their lines.
+#: Runs of 50 words or more, the shortest from each line on and the shortest up to each line; later copies of one lose their lines.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
 w AS (SELECT doc_id, pos, line, len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) AS words FROM e),
 s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before FROM w),
-b AS (SELECT a.doc_id, a.pos, min(z.pos) AS last FROM s a JOIN s z ON a.doc_id = z.doc_id AND z.pos >= a.pos AND z.upto >= a.before + 50 GROUP BY a.doc_id, a.pos),
+y AS (SELECT a.doc_id, a.pos, z.pos AS last FROM s a JOIN s z ON a.doc_id = z.doc_id AND z.pos >= a.pos AND z.upto >= a.before + 50),
+b AS (SELECT doc_id, pos, min(last) AS last FROM y GROUP BY doc_id, pos UNION SELECT doc_id, max(pos), last FROM y GROUP BY doc_id, last),
 k AS (SELECT b.doc_id, b.pos, b.last, md5(array_to_string(l[b.pos + 1 : b.last + 1], chr(10))) AS block FROM b JOIN d USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY doc_id, pos) AS n FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY block, last - pos ORDER BY doc_id, pos) AS n FROM k),
 g AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM r WHERE n > 1),
 t AS (SELECT e.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY e.pos) AS text,
         count(*) - count(g.pos) AS n_lines, count(g.pos) AS gone FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)

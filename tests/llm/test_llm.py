@@ -151,31 +151,59 @@ def test_plan_is_close_to_the_bound():
     assert n <= 1.01 * (np.arange(2049) * hist).sum() / 2048 + 1
 
 
-def test_line_dedup_against_brute_force(docs, empty):
-    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).select("doc_id", "text").collect()}
-    order = sorted({(i is not None, i or 0, t) for i, t in corpus() if t is not None})
-    seen, want = {}, {(1, None)}
+def plain_line_dedup(rows_):
+    """A line goes if it lies in any run of 50 words or more that stands before, by id, digests being left out as ids differ."""
+    order = sorted({(i is not None, i or 0, t) for i, t in rows_ if t is not None})
+    seen, out = {}, {}
     for has, i, t in order:
         lines, gone = t.split("\n"), set()
         for p in range(len(lines)):
             n = 0
             for q in range(p, len(lines)):
                 n += len(lines[q].split())
-                if n >= 50:
-                    b = tuple(lines[p : q + 1])
-                    if seen.setdefault(b, (has, i, t, p)) != (has, i, t, p):
-                        gone.update(range(p, q + 1))
-                    break
-        want.add((i if has else None, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    assert got == want
+                if n >= 50 and seen.setdefault(tuple(lines[p : q + 1]), (has, i, t, p)) != (has, i, t, p):
+                    gone.update(range(p, q + 1))
+        out[i if has else None, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    return out
+
+
+def runs_corpus():
+    """Long and short lines, blank ones, runs that overlap, repeat inside a document and end after a long line."""
+    r = np.random.default_rng(31)
+    pool = [" ".join(words(int(n), 5000 + k)) for k, n in enumerate(r.integers(1, 30, 12))] + [" ".join(words(70, 6000)), "", "", "one"]
+    return [(i, "\n".join(pool[int(k)] for k in (r.integers(0, len(pool), int(r.integers(2, 16))) if i % 3 else np.arange(i % 5, 14)))) for i in range(60)]
+
+
+def test_line_dedup_against_brute_force(docs, empty):
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).select("doc_id", "text").collect()}
+    assert got == {(i, t if t is None else plain_line_dedup(corpus())[i, t][0]) for i, t in corpus()}
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_maximal_runs_against_brute_force(spark):
+    """Every deleted line by its definition; runs equal their first copies, and cannot be prolonged with them."""
+    data = runs_corpus()
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"_gone": F.lit(1), "_a": F.lit(2), "_i": F.lit(3)})
+    want = plain_line_dedup(data)
+    rows_ = line_dedup.dedup_lines(d).collect()
+    assert {r["doc_id"]: (r["text"], r["lines_removed"]) for r in rows_} == {i: want[i, t] for i, t in data} and sum(n for _, n in want.values()) > 100
+    assert {(r["_gone"], r["_a"], r["_i"]) for r in rows_} == {(1, 2, 3)}
+    lines = {i: t.split("\n") for i, t in data}
+    runs = line_dedup.repeated_runs(d).collect()
+    assert len(runs) > 20 and max(r["lines"] for r in runs) > 5
+    for r in runs:
+        a, b, f = lines[r["id"]], lines[r["first"]["id"]], r["first"]["pos"]
+        own, other = a[r["start"] : r["start"] + r["lines"]], b[f : f + r["lines"]]
+        assert own == other and sum(len(x.split()) for x in own) >= 50 and (r["first"]["id"], f) < (r["id"], r["start"])
+
+
 def test_line_dedup_of_runs(spark):
     run = [f"line {i} has just five words" for i in range(12)]
     d = spark.createDataFrame([(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["", *run, "", "c"])), (3, "\n".join(run[3:9]))], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()}
     assert got[2] == "\n\nc" and got[3] == "\n".join(run[3:9]) and got[1].startswith("a\nline 0")
+    tail = spark.createDataFrame([(1, " ".join(words(60, 1)) + "\nshort tail\nx"), (2, "y\n" + " ".join(words(60, 1)) + "\nshort tail\nz")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(tail).collect()}[2] == "y\nz"
 
 
 def test_decontamination_blocks_and_texts(spark, docs, empty):
@@ -575,23 +603,6 @@ def stage_corpus():
     return good + junk + more, labels, [(1, " ".join(item)), (2, None)]
 
 
-def plain_line_dedup(rows_):
-    order = sorted({(i is not None, i or 0, t) for i, t in rows_ if t is not None})
-    seen, out = {}, {}
-    for has, i, t in order:
-        lines, gone = t.split("\n"), set()
-        for p in range(len(lines)):
-            n = 0
-            for q in range(p, len(lines)):
-                n += len(lines[q].split())
-                if n >= 50:
-                    if seen.setdefault(tuple(lines[p : q + 1]), (has, i, t, p)) != (has, i, t, p):
-                        gone.update(range(p, q + 1))
-                    break
-        out[i if has else None, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
-    return out
-
-
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     rows_, labels, items = stage_corpus()
     sf = str(tmp_path)
