@@ -252,9 +252,9 @@ def keyword_set(spark, sf_dir):
 _PR = ", ".join(f"('{p}', '{m}', {i}, {o})" for (p, m), (i, o) in PRICES.items())
 
 
-@query(f"SELECT model, count(*) AS n, CAST(round(sum(CAST(coalesce(round(CAST(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout AS DECIMAL(18,9)), 6), 0) AS DOUBLE)), 4) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
+@query(f"SELECT model, count(*) AS n, CAST(round(sum(CAST(coalesce(round(CAST(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout AS DECIMAL(18,9)), 6), 0) AS DOUBLE)), 6) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
 def cost_by_model(spark, sf_dir):
-    return cost(token_usage(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+    return cost(token_usage(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
 @query("SELECT project_id, round(sum(input_tokens) * CASE project_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 0 END * 0.000003, 6) AS saved_day, round(sum(input_tokens) * CASE project_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 0 END * 0.000003 * 30, 4) AS saved_month FROM {token_usage} GROUP BY project_id")
