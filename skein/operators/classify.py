@@ -141,11 +141,15 @@ def keyword_list(q: Column) -> Column:
 
 
 def cost(df: DataFrame, digits: int | None = 6) -> DataFrame:
-    """Adds cost by provider and model, rounded to so many digits; unknown ones cost nothing. The price list is a literal."""
+    """Adds cost by provider and model, rounded to so many digits (at most nine); unknown ones cost nothing. The price list is a literal."""
     price = F.create_map(*[x for (p, m), io in PRICES.items() for x in (F.lit(f"{p}/{m}"), F.array(*map(F.lit, io)))])
     got = F.try_element_at(price, F.concat_ws("/", "provider", "model"))
-    raw = F.col("input_tokens") / 1e6 * got[0] + F.col("output_tokens") / 1e6 * got[1]
-    return df.withColumn("cost", F.coalesce(raw if digits is None else F.round(raw, digits), F.lit(0.0)))
+    if digits is None:
+        return df.withColumn("cost", F.coalesce(F.col("input_tokens") / 1e6 * got[0] + F.col("output_tokens") / 1e6 * got[1], F.lit(0.0)))
+    # Prices have three digits, so a cost is a whole number of 1e-9: halves round up exactly, whatever the order of the sums.
+    nano = F.col("input_tokens") * F.round(got[0] * 1000).cast("long") + F.col("output_tokens") * F.round(got[1] * 1000).cast("long")
+    unit = 10 ** (9 - digits)
+    return df.withColumn("cost", F.coalesce(F.floor((nano + unit // 2) / unit) / 10.0**digits, F.lit(0.0)))
 
 
 def _sql_any(words, col="low"):
@@ -252,7 +256,7 @@ def keyword_set(spark, sf_dir):
 _PR = ", ".join(f"('{p}', '{m}', {i}, {o})" for (p, m), (i, o) in PRICES.items())
 
 
-@query(f"SELECT model, count(*) AS n, CAST(round(sum(CAST(coalesce(round(CAST(input_tokens / 1e6 * pin + output_tokens / 1e6 * pout AS DECIMAL(18,9)), 6), 0) AS DOUBLE)), 6) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
+@query(f"SELECT model, count(*) AS n, CAST(round(sum(coalesce((input_tokens * CAST(pin * 1000 AS BIGINT) + output_tokens * CAST(pout * 1000 AS BIGINT) + 500) // 1000, 0) / 1e6), 6) AS DOUBLE) AS cost FROM {{token_usage}} u LEFT JOIN (VALUES {_PR}) p(provider, model, pin, pout) USING (provider, model) GROUP BY model")
 def cost_by_model(spark, sf_dir):
     return cost(token_usage(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
