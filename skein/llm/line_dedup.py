@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table, text_or_empty
@@ -33,16 +33,29 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "a", "b", "pos", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit("k"), "l").alias("h2"), F.regexp_count("l", F.lit(r"\S+")).alias("words"))
 
 
-def _ranked(counts: DataFrame, first: Column, second: Column, base: Column) -> DataFrame:
-    """Adds rank = base + how many suffixes stand before, among rows of equal ``first``, in the order of ``second``.
-    Running sums are taken in blocks of the second key and then over blocks, so no window holds a whole hot group."""
-    rows = counts.withColumn("_f", first).withColumn("_s", second).withColumn("_blk", F.shiftright("_s", 44) if base is None else F.shiftright("_s", 16))
-    blocks = rows.groupBy("_f", "_blk").agg(F.sum("n").alias("_n"))
-    upto = Window.partitionBy("_f").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_f", "_blk", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_f", "_blk").orderBy("_s", *(["h2"] if base is None else [])).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(blocks, ["_f", "_blk"])
-    return rows.withColumn("rank", F.col("_in") + F.col("_before") + (F.lit(0) if base is None else base)).drop("_f", "_s", "_blk", "_in", "_before")
+def _upto(rows: DataFrame, by: list[str], order: str, n: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over the rows before, in the order of ``order`` among rows of equal ``by``."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def _first_ranks(shared: DataFrame) -> DataFrame:
+    """(h1, h2, rank) from (h1, h2, n): how many lines stand before in the order of (h1, h2). Sums run inside 2^20 blocks of h1, then
+    over the blocks inside 2^10 groups of blocks, then over those groups."""
+    rows = shared.withColumn("_blk", F.shiftright("h1", 44)).withColumn("_at", F.struct("h1", "h2"))
+    rows = _upto(rows, ["_blk"], "_at", "n", "_in")
+    blocks = rows.groupBy("_blk").agg(F.sum("n").alias("_n")).withColumn("_top", F.shiftright("_blk", 10))
+    tops = _upto(blocks.groupBy("_top").agg(F.sum("_n").alias("_t")), [], "_top", "_t", "_over").select("_top", "_over")
+    blocks = _upto(blocks, ["_top"], "_blk", "_n", "_below").join(F.broadcast(tops), "_top")  # at most 2^10 rows
+    return rows.join(blocks.select("_blk", (F.col("_over") + F.col("_below")).alias("_before")), "_blk").select("h1", "h2", (F.col("_in") + F.col("_before")).alias("rank"))
+
+
+def _new_ranks(counts: DataFrame) -> DataFrame:
+    """(r1, rank2, new) from (r1, rank2, n): r1 + how many suffixes of the same r1 stand before in the order of rank2. Sums run inside
+    blocks of rank2 and then over them, so no window holds a whole hot rank."""
+    rows = _upto(counts.withColumn("_blk", F.shiftright("rank2", 16)), ["r1", "_blk"], "rank2", "n", "_in")
+    blocks = _upto(rows.groupBy("r1", "_blk").agg(F.sum("n").alias("_n")), ["r1"], "_blk", "_n", "_before")
+    return rows.join(blocks.select("r1", "_blk", "_before"), ["r1", "_blk"]).select("r1", "rank2", (F.col("r1") + F.col("_in") + F.col("_before")).alias("new"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +65,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     lines = lines_of(docs, id_col, text_col)
     # Round 0: lines that occur once cannot be in a repeated run.
     shared = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    first = cut(_ranked(shared, F.lit(0), F.col("h1"), None).select("h1", "h2", "rank"))
+    first = cut(_first_ranks(shared))
     # Depth: the least number of lines from here on with min_words words; a window over the document's own lines.
     active = lines.join(first, ["h1", "h2"]).select(*key, "pos", "rank", "words")
     doc = Window.partitionBy(*key)
@@ -82,8 +95,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         # Doubling: pairs of ranks; those that occur once are settled.
         pair = state.join(tail.withColumn("pos", F.col("_p") - size).drop("_p"), [*key, "pos"])
         counts = pair.groupBy("rank", "rank2").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("rank", "r1")
-        new = _ranked(counts, F.col("r1"), F.col("rank2"), F.col("r1")).select(F.col("r1"), "rank2", F.col("rank").alias("new"))
-        state = cut(pair.withColumnRenamed("rank", "r1").join(new, ["r1", "rank2"]).select(*key, "pos", F.col("new").alias("rank"), "depths"))
+        state = cut(pair.withColumnRenamed("rank", "r1").join(_new_ranks(counts), ["r1", "rank2"]).select(*key, "pos", F.col("new").alias("rank"), "depths"))
         k += 1
     later = reduce(DataFrame.unionByName, found)
     # Copies that go on together with their firsts overlap; they are chained to the run that they make.
