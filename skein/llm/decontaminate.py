@@ -11,7 +11,7 @@ long texts are streamed word by word; helper columns take names that the table d
 from __future__ import annotations
 
 import re
-from functools import partial
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,108 +31,83 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the marks that windows and short items need."""
+    """Generalised suffix automaton over word numbers, with the marks that windows and short items need.
+
+    It is built with a dict a state and then kept flat: nearly all states have one way on, which two arrays hold; only states with
+    several have a dict. That is some 16 bytes a state, besides the vocabulary."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
+        ways: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
         for _, words in items:
             last = 0
             for w in words:
-                last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)))
-        self.items: list[tuple[str, ...]] = [()] * len(self.link)
+                last = _extend(ways, link, length, last, self.vocab.setdefault(w, len(self.vocab)))
         marks: dict[int, set[str]] = {}
-        self.short = [0] * len(self.link)
+        short: dict[int, int] = {}
         for name, words in items:
             if words and len(words) < window:
                 s = 0
                 for w in words:
-                    s = self.next[s][self.vocab[w]]
-                self.short[s] = len(words)
+                    s = ways[s][self.vocab[w]]
+                short[s] = len(words)
                 marks.setdefault(s, set()).add(name)
             s = n = 0
             for w in words if len(words) >= window else ():
-                s, n = self.next[s][self.vocab[w]], n + 1
+                s, n = ways[s][self.vocab[w]], n + 1
                 if n >= window:
-                    while self.len[self.link[s]] >= window:
-                        s = self.link[s]
-                    n = min(n, self.len[s])
+                    while length[link[s]] >= window:
+                        s = link[s]
+                    n = min(n, length[s])
                     marks.setdefault(s, set()).add(name)
-        for s, names in marks.items():
-            self.items[s] = tuple(sorted(names))
-        # For each state the nearest ancestors (itself included) that are a whole short item, longest first.
-        self.shorts: list[tuple[int, ...]] = [()] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.len.__getitem__):
-            up = self.shorts[self.link[s]]
-            self.shorts[s] = (s, *up) if self.short[s] else up
-
-    def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        if c in nxt[last]:
-            q = nxt[last][c]
-            if length[q] == length[last] + 1:
-                return q
-            return self._clone(last, c, q)
-        cur = len(link)
-        nxt.append({}), link.append(0), length.append(length[last] + 1)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-        return cur
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        clone = len(link)
-        nxt.append(dict(nxt[q])), link.append(link[q]), length.append(length[p] + 1)
-        link[q] = clone
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
-            p = link[p]
-        return clone
+        self.items = {s: tuple(sorted(names)) for s, names in marks.items()}
+        # For each state that has any: its nearest ancestors (itself included) that are a whole short item, longest first.
+        self.shorts: dict[int, tuple[int, ...]] = {}
+        if short:
+            for s in sorted(range(1, len(link)), key=length.__getitem__):
+                up = self.shorts.get(link[s], ())
+                if s in short or up:
+                    self.shorts[s] = (s, *up) if s in short else up
+        self.link, self.len = array("i", link), array("i", length)
+        one = [next(iter(d.items())) if len(d) == 1 else (-1, -1) for d in ways]
+        self.word, self.to = array("i", [w for w, _ in one]), array("i", [t for _, t in one])
+        self.several = {s: d for s, d in enumerate(ways) if len(d) > 1}
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint, sorted spans of hit words (end exclusive), and the items of which a window occurs."""
-        get, nxt, link, length, shorts, window = self.vocab.get, self.next, self.link, self.len, self.shorts, self.window
+        get, only, to_of, several, link, length, shorts, window = self.vocab.get, self.word, self.to, self.several, self.link, self.len, self.shorts, self.window
         state = n = 0
         spans: list[tuple[int, int]] = []
         seen: set[str] = set()
+        none: dict[int, int] = {}
         for i, word in enumerate(words):
             c = get(word)
             if c is None:
                 state = n = 0
                 continue
-            to = nxt[state].get(c)
-            if to is None:
-                while True:
-                    state = link[state]
-                    if state == -1:
-                        state = n = 0
-                        break
-                    to = nxt[state].get(c)
-                    if to is not None:
-                        n = length[state] + 1
-                        state = to
-                        break
-            else:
-                state, n = to, n + 1
+            while True:
+                to = to_of[state] if only[state] == c else several.get(state, none).get(c)
+                if to is not None:
+                    state, n = to, n + 1
+                    break
+                state = link[state]
+                if state == -1:
+                    state = n = 0
+                    break
+                n = length[state]
             long = 0
             if n >= window:
                 s = state
                 while length[link[s]] >= window:
                     s = link[s]
                 long = window
-                seen.update(self.items[s])
-            if shorts[state]:
-                for s in shorts[state]:
-                    if length[s] <= n:
-                        long = max(long, length[s])
-                        seen.update(self.items[s])
+                seen.update(self.items.get(s, ()))
+            for s in shorts.get(state, ()):
+                if length[s] <= n:
+                    long = max(long, length[s])
+                    seen.update(self.items.get(s, ()))
             if long:
                 start = i + 1 - long
                 while spans and spans[-1][1] >= start:
@@ -141,6 +116,34 @@ class Automaton:
         return spans, seen
 
 
+def _extend(ways: list[dict[int, int]], link: list[int], length: list[int], last: int, c: int) -> int:
+    """The state of the item so far after one more word."""
+    if c in ways[last]:
+        q = ways[last][c]
+        return q if length[q] == length[last] + 1 else _split(ways, link, length, last, c, q)
+    new = len(link)
+    ways.append({}), link.append(0), length.append(length[last] + 1)
+    p = last
+    while p != -1 and c not in ways[p]:
+        ways[p][c] = new
+        p = link[p]
+    if p != -1:
+        q = ways[p][c]
+        link[new] = q if length[q] == length[p] + 1 else _split(ways, link, length, p, c, q)
+    return new
+
+
+def _split(ways: list[dict[int, int]], link: list[int], length: list[int], p: int, c: int, q: int) -> int:
+    """A state for the shorter strings of q that end where p goes on with c."""
+    new = len(link)
+    ways.append(dict(ways[q])), link.append(link[q]), length.append(length[p] + 1)
+    link[q] = new
+    while p != -1 and ways[p].get(c) == q:
+        ways[p][c] = new
+        p = link[p]
+    return new
+
+
 def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str, block_words: int):
     """Automata of blocks of items with at most block_words words each (one larger item makes a block of its own);
     items stream to the driver one partition at a time."""
@@ -175,11 +178,11 @@ def _scan(texts: pd.Series, model, char_spans: bool) -> pd.DataFrame:
 _LOWER = {b: b + 32 for b in range(0x41, 0x5B)}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", char_spans: bool = True, block_words: int = 2_000_000, out: str = "hits") -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", char_spans: bool = True, block_words: int = 400_000, out: str = "hits") -> DataFrame:
     """Adds ``out``: n_words, n_hit, items (with an occurring window) and the hit spans, in code points (or words).
 
-    One automaton of at most ``block_words`` item words is broadcast; a larger benchmark is streamed in several
-    passes over the documents, whose hits are united per document."""
+    One automaton of at most ``block_words`` item words is broadcast, which is at most some 50 MB a worker (and, while it is built, 200 MB
+    on the driver); a larger benchmark is streamed in several passes over the documents, whose hits are united per document."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     blocks = iter(automata(benchmark, window, item_id, item_text, block_words))

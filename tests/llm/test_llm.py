@@ -206,6 +206,27 @@ def test_line_dedup_of_runs(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(tail).collect()}[2] == "y\nz"
 
 
+def test_automaton_against_brute_force():
+    """Few words, so that items overlap, repeat and share ways; short items, empty ones, words that no item has."""
+    import pickle
+    import random
+
+    r = random.Random(1)
+    for _ in range(600):
+        letters = [bytes([97 + i]) for i in range(r.randint(1, 4))]
+        items = [(str(i), [r.choice(letters) for _ in range(r.randint(0, 9))]) for i in range(r.randint(0, 5))]
+        window, text = r.randint(2, 5), [r.choice([*letters, b"?"]) for _ in range(r.randint(0, 25))]
+        hit, seen = set(), set()
+        for name, words_ in items:
+            n = min(window, len(words_))
+            grams = {tuple(words_[k : k + n]) for k in range(len(words_) - n + 1)} if n else set()
+            at = [p for p in range(len(text) - n + 1) if tuple(text[p : p + n]) in grams]
+            hit.update(p + k for p in at for k in range(n))
+            seen.update([name] if at else [])
+        spans, found = pickle.loads(pickle.dumps(decontaminate.Automaton(items, window))).hits(text)
+        assert {q for a, b in spans for q in range(a, b)} == hit and found == seen and spans == sorted(spans)
+
+
 def test_decontamination_blocks_and_texts(spark, docs, empty):
     b = spark.createDataFrame([(1, " ".join(words(80, 1)[10:30])), (2, "Hi"), (3, None), (4, ""), (5, " ".join(words(80, 2)[:15]))], "item_id long, text string")
     one = {(r["doc_id"], str(r["text"])): r["hits"] for r in decontaminate.find_hits(docs, b).collect()}
