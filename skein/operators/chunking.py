@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, marked_split, spans
 from ..plans import query
-from ..sources.tables import document, table
+from ..sources.tables import document, table, texts
 
 #: Named patterns and severities. Boundaries are ASCII; all match in any case.
 PATTERNS = (
@@ -249,7 +249,7 @@ _cnt = lambda p: f"CAST(len(regexp_extract_all(coalesce(text, ''), '(?i){p.repla
 
 @query("SELECT doc_id, " + ", ".join(f"{_cnt(p)} AS {n}" for n, p, _ in PATTERNS) + " FROM documents")
 def pii_scan_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *finding_counts(F.coalesce("text", F.lit(""))))
+    return texts(spark, sf_dir).select("doc_id", *finding_counts(F.coalesce("text", F.lit(""))))
 
 
 def _severity(sev: str) -> str:
@@ -260,7 +260,7 @@ def _severity(sev: str) -> str:
 def pii_by_severity(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
     by = {s: sum(F.regexp_count(t, F.lit(f"(?i){p}")).cast("long") for _, p, x in PATTERNS if x == s) for s in ("critical", "high", "medium")}
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(s) for s, c in by.items()], F.lit(0).cast("long").alias("low"))  # no pattern is low
+    return texts(spark, sf_dir).select("doc_id", *[c.alias(s) for s, c in by.items()], F.lit(0).cast("long").alias("low"))  # no pattern is low
 
 
 _FINDINGS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS type, '{s}' AS severity, unnest(regexp_extract_all(text, '(?i){p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for n, p, s in PATTERNS)
@@ -269,7 +269,7 @@ _FINDINGS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS type, '{s}' AS severity
 @query(f"WITH f AS ({_FINDINGS}) SELECT doc_id, type, severity, CASE WHEN length(value) <= 4 THEN '****' ELSE substr(value, 1, 4) || repeat('*', length(value) - 4) END AS preview, count(*) AS n, true AS placed FROM f GROUP BY ALL")
 def pii_findings(spark, sf_dir):
     """Findings with masked previews; places and lines are checked against the text."""
-    f = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(findings(F.coalesce("text", F.lit("")))).alias("f")).select("doc_id", "text", "f.*")
+    f = texts(spark, sf_dir).select("doc_id", "text", F.explode(findings(F.coalesce("text", F.lit("")))).alias("f")).select("doc_id", "text", "f.*")
     value = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
     line = F.size(F.split(F.substr("text", F.lit(1), F.col("start")), "\n", -1))
     return f.groupBy("doc_id", "type", "severity", "preview").agg(F.count("*").alias("n"), F.bool_and((mask(value) == F.col("preview")) & (line == F.col("line"))).alias("placed"))
@@ -288,7 +288,7 @@ def _sql_redact(t: str) -> str:
 
 @query(f"SELECT doc_id, sha256({_sql_redact('text')}) AS redacted_sha256 FROM documents")
 def pii_redact(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact(F.col("text")), 256).alias("redacted_sha256"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN '****' ELSE substr(p_name, 1, 4) || repeat('*', length(p_name) - 4) END AS masked FROM part")
@@ -307,7 +307,7 @@ e AS (SELECT doc_id, unnest(cs) AS chunk, unnest(range(len(cs))) AS idx FROM c)"
 
 @query(_PACK + " SELECT doc_id, len(cs) AS n_chunks, sha256(array_to_string(cs, chr(1))) AS chunks_sha256 FROM c")
 def chunk_sentence_pack(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", pack_sentences(F.coalesce("text", F.lit(""))).alias("cs"))
+    c = texts(spark, sf_dir).select("doc_id", pack_sentences(F.coalesce("text", F.lit(""))).alias("cs"))
     return c.select("doc_id", F.size("cs").cast("long").alias("n_chunks"), F.sha2(F.array_join("cs", "\u0001"), 256).alias("chunks_sha256"))
 
 
@@ -326,7 +326,7 @@ SELECT doc_id AS id, n_chunks, CAST(round(size_ok, 4) AS DOUBLE) AS size_ok, rou
 @query(_SCORE)
 def chunk_metrics(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.alias("t"), pack_sentences(t).alias("cs"))
+    c = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), t.alias("t"), pack_sentences(t).alias("cs"))
     return chunk_scores(c.select("id", block_integrity(F.col("t"), F.col("cs")).alias("integrity"), F.posexplode("cs").alias("idx", "chunk")), ["id"])
 
 
@@ -337,7 +337,7 @@ _LINES = "list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i:
 def chunk_block_integrity(spark, sf_dir):
     """Lines made items and table rows, cut at sentence ends: blocks that hold one are broken."""
     line = lambda l, i: F.when((i + 1) % 3 == 0, F.concat(F.lit("- "), l)).when((i + 1) % 7 == 0, F.concat(F.lit("| "), l, F.lit(" | x |"))).otherwise(l)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n").alias("t"))
+    d = texts(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n").alias("t"))
     return d.select("doc_id", F.round(block_integrity(F.col("t"), F.split("t", "[.] ", -1)), 4).alias("integrity"))
 
 
@@ -351,25 +351,25 @@ _MERGE_PARTS = r"list_filter(list_transform(string_split(regexp_replace(regexp_r
 c AS (SELECT f.doc_id, CASE WHEN cur = '' THEN out WHEN len(out) > 0 AND length(cur) < 250 THEN list_append(out[1:len(out) - 1], out[len(out)] || ' ' || cur) ELSE list_append(out, cur) END AS cs FROM f JOIN d ON f.doc_id = d.doc_id WHERE i = len(p) + 1)
 SELECT doc_id, len(cs) AS n_chunks, sha256(array_to_string(cs, chr(1))) AS chunks_sha256 FROM c""")
 def chunk_split_merge(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", split_then_merge(F.coalesce("text", F.lit(""))).alias("cs"))
+    c = texts(spark, sf_dir).select("doc_id", split_then_merge(F.coalesce("text", F.lit(""))).alias("cs"))
     return c.select("doc_id", F.size("cs").cast("long").alias("n_chunks"), F.sha2(F.array_join("cs", "\u0001"), 256).alias("chunks_sha256"))
 
 
 @query(r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\f|\n{3,}|--- ?[Pp]age [0-9]+', chr(1), 'g'), chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: length(p) > 50)) AS n_pages FROM documents")
 def chunk_page_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(pages(F.coalesce("text", F.lit("")))).cast("long").alias("n_pages"))
+    return texts(spark, sf_dir).select("doc_id", F.size(pages(F.coalesce("text", F.lit("")))).cast("long").alias("n_pages"))
 
 
 @query()
 def chunk_recursive(spark, sf_dir):
     """As the reference splits, text before an oversize part twice; tests hold it against the definition."""
-    c = recursive_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", pending=True)
+    c = recursive_chunks(texts(spark, sf_dir).select("doc_id", "text"), "text", pending=True)
     return c.select("doc_id", F.size("chunks").alias("n_chunks"), F.sha2(F.array_join("chunks", "\u0001"), 256).alias("chunks_sha256"))
 
 
 @query()
 def chunk_best_strategy(spark, sf_dir):
-    return best_strategy(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return best_strategy(texts(spark, sf_dir).select("doc_id", "text"))
 
 
 _DELTA = """n AS (SELECT doc_id AS document_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS idx, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -378,7 +378,7 @@ j AS (SELECT document_id, idx, CASE WHEN o.line IS NULL THEN 'added' WHEN n.line
 
 
 def _delta(spark, d):
-    new = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "chunk")).withColumn("idx", F.col("idx").cast("long"))
+    new = texts(spark, d).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "chunk")).withColumn("idx", F.col("idx").cast("long"))
     h = F.sha2(F.when(F.col("document_id") % 7 == 3, F.concat(F.lit("old "), F.col("chunk"))).otherwise(F.col("chunk")), 256)
     old = new.where("document_id % 5 <> 0").select("document_id", "idx", h.alias("content_hash")).unionByName(new.where("document_id % 11 = 0").select("document_id", (F.col("idx") + 100000).alias("idx"), F.sha2("chunk", 256).alias("content_hash")))
     return chunk_delta(new, old)
@@ -397,7 +397,7 @@ def delta_stats(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS content_hash, doc_id || ':0:' || substr(sha256(text), 1, 8) AS doc_id_version, sha256(source || '::' || doc_id % 4 || '::1') AS cache_key FROM documents")
 def content_hash_version(spark, sf_dir):
     h = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"), F.substring(h, 1, 8)).alias("doc_id_version"), F.sha2(F.concat_ws("::", "source", (F.col("doc_id") % 4).cast("string"), F.lit("1")), 256).alias("cache_key"))
+    return texts(spark, sf_dir).select("doc_id", h.alias("content_hash"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"), F.substring(h, 1, 8)).alias("doc_id_version"), F.sha2(F.concat_ws("::", "source", (F.col("doc_id") % 4).cast("string"), F.lit("1")), 256).alias("cache_key"))
 
 
 @query("SELECT project_id, sha256(content) AS h, min(id) AS kept, count(*) - 1 AS skipped FROM {document} WHERE is_active GROUP BY ALL")
@@ -445,4 +445,4 @@ def layout_chunks(spark, sf_dir):
 
 @query("SELECT doc_id, 0 AS n_blocks, 'fallback_basic' AS parsing_method, 0 AS page_count FROM documents")
 def parse_fallback(spark, sf_dir):
-    return empty_parse(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("text_blocks").alias("n_blocks"), "parsing_method", "page_count")
+    return empty_parse(texts(spark, sf_dir), "doc_id").select("doc_id", F.size("text_blocks").alias("n_blocks"), "parsing_method", "page_count")

@@ -12,6 +12,8 @@ from ..sources.store import folder_of
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms up to this number are filtered by value in the scan of the postings; more of them are joined.
 PUSHED_TERMS = 200
+#: Query terms (with their weights) are broadcast up to this number.
+SMALL = 100_000
 
 
 class Index:
@@ -67,21 +69,23 @@ def lexical(index: Index, queries: DataFrame, k: int = 5, grouped: bool = False)
     words = queries.select("query_id", *by, F.explode(tokens(F.col("q"))).alias("term")).groupBy("query_id", *by, "term").agg(F.count("*").alias("qtf"))
     named = words.select("term").distinct()
     few = [r["term"] for r in named.limit(PUSHED_TERMS + 1).collect()]
-    wanted = lambda df: df.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else df.join(named, "term", "left_semi")
+    wanted = lambda df: df.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else df
     idf = F.when(raw_idf(F.col("n"), F.col("df")) < 0, EPSILON * F.col("mean")).otherwise(raw_idf(F.col("n"), F.col("df")))
     sizes = own(index.sizes)
     known = own(wanted(index.terms))
     known = known.join(F.broadcast(sizes), "grp") if grouped else known.crossJoin(F.broadcast(sizes))  # a row a group
     known = words.join(known.select(*by, "term", "avgdl", idf.alias("idf")), [*by, "term"])
+    known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
     one = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = wanted(index.postings)
-    scored = (hits if grouped else hits.drop("grp")).join(known, [*by, "term"]).groupBy("query_id", "id").agg(F.round(F.sum(one), 6).alias("score"))
+    parts = (hits if grouped else hits.drop("grp")).join(known, [*by, "term"]).select("query_id", "id", one.alias("s"))
     if grouped:
         first = index.docs.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("id"))).where(F.col("n") <= 2 * k).select("grp", "id")
         fill = queries.select("query_id", "grp").join(F.broadcast(first), "grp").select("query_id", "id")  # 2k rows a group
     else:
         fill = queries.select("query_id").crossJoin(F.broadcast(index.docs.select("id").orderBy("id").limit(2 * k)))
-    return top_k(scored.unionByName(fill.join(scored, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))), k)
+    scored = parts.unionByName(fill.withColumn("s", F.lit(0.0))).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    return top_k(scored, k)
 
 
 def top_k(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:

@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the scan has fewer parts than there are cores, as a small file in one row group has; a scan
+    of more parts stays as it is, without a shuffle. For work that costs more per row than moving the row does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def upload_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Uploaded files as rows: path, document_hash of the raw bytes, content decoded as UTF-8 with replacement. Spark's
     reader gives no row for an empty file."""
@@ -22,8 +29,13 @@ def upload_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("document_hash"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(
         F.col("doc_id").alias("id"), (F.substring("source", 4, 9).cast("int") % 4).alias("project_id"), F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id"), ext).alias("filename"),
