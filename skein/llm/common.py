@@ -8,12 +8,16 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: A side is broadcast only if its counted rows stay below this; beyond it the plain (shuffled) join runs.
 BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents that the scan would deal to fewer tasks than there are cores are spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def shared_dir(spark: SparkSession) -> str:
