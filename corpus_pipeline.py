@@ -1,6 +1,13 @@
 """Training corpus pipeline: quality, line dedup, near duplicates, benchmark decontamination, packing.
 
-Every stage reads what the one before kept, as Parquet in the shared checkpoint folder.
+Every stage reads what the one before kept, as Parquet in the shared checkpoint folder. All but the last return the columns of
+documents, whatever else a table holds; helper columns cannot clash, as other columns are not carried.
+
+Defined results: null texts count as empty and stay null; a null id is an id of its own that comes first. The quality stage keeps what
+scores ``LEAST_QUALITY`` or more, empty and very long texts included; without labels that is everything. Line dedup drops documents of which every line is
+a later copy, and keeps those that were empty before. Of near duplicates the row of the least id stays, of ties in id that of the
+least digests, of rows equal in both one. Decontamination drops documents of which more than half the words are hit and cuts the hit spans out
+of the others. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -51,7 +58,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: A learned score decides in the first stage, so no SQL gives these rows; tests hold each stage against a brute-force version.
+#: A learned score decides in the first stage, so no SQL gives these rows; test_pipeline_stages_against_brute_force holds every
+#: stage against a brute-force version.
 ORACLE_SQL = None
 
 
