@@ -61,15 +61,16 @@ def _named(i: int):
     return lambda m: F.struct(F.lit(i).alias("family"), F.trim(m["value"]).alias("reference"), m["start"].alias("start"), m["end"].alias("end"))
 
 
-def resolve(found: DataFrame, search, known: DataFrame, by: str = "query_id", most: int = 3) -> DataFrame:
-    """(by, id, ref): what a targeted search finds for the first references of each list, less what the list has (``known``: by, id);
-    each document at its first reference. ``found``: (by, rank, family, reference, start); ``search`` maps (ref_id, q) to (ref_id, id).
-    Equal references are searched once."""
+def resolve(found: DataFrame, search, known: DataFrame, by: str = "query_id", most: int = 3, k: int = 3) -> DataFrame:
+    """(by, id, ref): what a targeted search within the reference's document finds for the first references of each list, less what the
+    list has (``known``: by, id); each chunk at its first reference. ``found``: (by, rank, family, reference, start, document_id);
+    ``search`` maps (ref_id, q) to candidates (ref_id, id, rank, document_id). Equal references are searched once."""
     n = F.row_number().over(Window.partitionBy(by).orderBy("rank", "family", "start"))
-    first = found.withColumn("ref", n).where(F.col("ref") <= most).select(by, "ref", "reference")
+    first = found.withColumn("ref", n).where(F.col("ref") <= most).select(by, "ref", "reference", "document_id")
     asked = first.select("reference").distinct().withColumn("ref_id", F.xxhash64("reference"))
     hits = search(asked.select("ref_id", F.concat(F.lit("content of "), "reference").alias("q")))
-    got = first.withColumn("ref_id", F.xxhash64("reference")).join(hits.select("ref_id", "id"), "ref_id")
+    got = first.withColumn("ref_id", F.xxhash64("reference")).join(hits.select("ref_id", "id", "rank", "document_id"), ["ref_id", "document_id"])
+    got = got.withColumn("place", F.row_number().over(Window.partitionBy(by, "ref").orderBy("rank"))).where(F.col("place") <= k)
     return got.groupBy(by, "id").agg(F.min("ref").alias("ref")).join(known.select(by, "id"), [by, "id"], "left_anti")
 
 
@@ -296,17 +297,24 @@ def xref_detect(spark, sf_dir):
     return r.groupBy("id", "family", "reference").agg(F.count("*").alias("n"))
 
 
-_XREF = "fl AS (SELECT id, query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM {facts}), xr AS (" + " UNION ALL ".join(f"SELECT query_id, rank, {i} AS family, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS reference FROM fl" for i, p in enumerate(REFERENCES)) + ")"
+_XREF = "fl AS (SELECT id, id % 5 AS doc, query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM {facts}), xr AS (" + " UNION ALL ".join(f"SELECT query_id, rank, doc, {i} AS family, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS reference FROM fl" for i, p in enumerate(REFERENCES)) + ")"
 
 
 @query(f"""WITH {_XREF}, x3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, family) AS ref FROM xr QUALIFY ref <= 3),
-{bm25_sql("(SELECT DISTINCT reference AS query_id, 'content of ' || reference AS text FROM x3)", 3)} SELECT x3.query_id, lex.id, CAST(min(ref) AS INT) AS ref FROM x3 JOIN lex ON lex.query_id = x3.reference GROUP BY ALL""")
+{bm25_sql("(SELECT DISTINCT reference AS query_id, 'content of ' || reference AS text FROM x3)", 40)},
+xp AS (SELECT x3.query_id, ref, lex.id, row_number() OVER (PARTITION BY x3.query_id, ref ORDER BY lex.rank) AS place FROM x3 JOIN lex ON lex.query_id = x3.reference AND lex.id % 5 = x3.doc)
+SELECT query_id, id, CAST(min(ref) AS INT) AS ref FROM xp WHERE place <= 3 GROUP BY ALL""")
 def xref_resolve(spark, sf_dir):
-    """The first three references of each list, searched for in the corpus; each document at the first that finds it."""
+    """The first three references of each list, searched for within the chunk's own document (here a fifth of the corpus by the last
+    digit); each hit at the first that finds it."""
     f = facts(spark, sf_dir)
-    lists = f.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    found = references(lists, ["query_id", "rank"])
-    search = lambda asked: lexical(_index(spark, sf_dir), asked.withColumnRenamed("ref_id", "query_id"), 3).withColumnRenamed("query_id", "ref_id")
+    lists = f.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).withColumn("document_id", F.col("id") % 5)
+    found = references(lists, ["query_id", "rank", "document_id"])
+
+    def search(asked):
+        hits = lexical(_index(spark, sf_dir), asked.withColumnRenamed("ref_id", "query_id"), candidate_k(3))
+        return hits.withColumnRenamed("query_id", "ref_id").withColumn("document_id", F.col("id") % 5)
+
     return resolve(found, search, lists.select("query_id", (-F.col("id") - 1).alias("id")))
 
 

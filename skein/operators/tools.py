@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,22 +11,43 @@ from pyspark.sql import functions as F
 from ..sources.tables import document, table
 from .index import index_of, lexical
 
-TOOLS: dict[str, tuple[str, tuple[str, ...], Callable[..., DataFrame]]] = {}
+TOOLS: dict[str, "Tool"] = {}
 
 
-def tool(description: str, *roles: str):
+@dataclass(frozen=True)
+class Tool:
+    """A named function with the roles that may call it and the kind and bounds of each argument."""
+
+    description: str
+    roles: tuple[str, ...]
+    inputs: dict[str, tuple]
+    run: Callable[..., DataFrame]
+
+    def validate(self, args: dict) -> None:
+        for name, value in args.items():
+            if name not in self.inputs:
+                raise ValueError(f"unknown argument {name}")
+            kind, *bounds = self.inputs[name]
+            if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+                raise ValueError(f"{name} must be {kind.__name__}")
+            if bounds and not bounds[0] <= value <= bounds[1]:
+                raise ValueError(f"{name} must lie between {bounds[0]} and {bounds[1]}")
+
+
+def tool(description: str, *roles: str, **inputs: tuple):
     def keep(f):
-        TOOLS[f.__name__] = (description, roles, f)
+        TOOLS[f.__name__] = Tool(description, roles, inputs, f)
         return f
 
     return keep
 
 
-@tool("Lexical search over active documents", "admin", "client")
-def search_documents(spark: SparkSession, sf_dir: str, question: str, top_k: int = 4) -> DataFrame:
+@tool("Lexical search over active documents", "admin", "client", question=(str,), top_k=(int, 1, 100), least_score=(float, 0.0, 1e9))
+def search_documents(spark: SparkSession, sf_dir: str, question: str, top_k: int = 4, least_score: float = 0.0) -> DataFrame:
+    """The first ``top_k`` active documents; with ``least_score`` only those of that score or more."""
     docs = document(spark, sf_dir)
     found = lexical(index_of(spark, sf_dir, docs), spark.createDataFrame([(0, question)], "query_id long, q string"), 4 * top_k)
-    kept = found.join(docs.where("is_active").select("id"), "id", "left_semi")
+    kept = found.join(docs.where("is_active").select("id"), "id", "left_semi").where(F.col("score") >= least_score)
     return kept.orderBy("rank").limit(top_k)
 
 
@@ -34,22 +56,31 @@ def get_active_rag_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_acctbal > 0").orderBy(F.desc("c_custkey")).limit(1)
 
 
-@tool("Names of documents", "admin")
+@tool("Names of documents", "admin", limit=(int, 1, 10_000))
 def get_document_sources(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
     return document(spark, sf_dir).select("id", "filename").orderBy("id").limit(limit)
 
 
 def permissions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r, n) for n, (_, roles, _) in TOOLS.items() for r in roles], "role string, tool string")
+    return spark.createDataFrame([(r, n) for n, t in TOOLS.items() for r in t.roles], "role string, tool string")
 
 
 def call(spark: SparkSession, sf_dir: str, role: str, name: str, **args) -> DataFrame:
-    """Permission, then lookup, then the call; both failures raise."""
+    """Permission, then lookup, then the arguments, then the call; failures raise."""
     if name not in TOOLS:
         raise KeyError(f"no tool named {name}")
-    if role not in TOOLS[name][1]:
+    if role not in TOOLS[name].roles:
         raise PermissionError(f"{role} may not call {name}")
-    return TOOLS[name][2](spark, sf_dir, **args)
+    TOOLS[name].validate(args)
+    return TOOLS[name].run(spark, sf_dir, **args)
+
+
+def answer(spark: SparkSession, sf_dir: str, role: str, name: str, most: int = 100, **args) -> dict:
+    """A call's result as content: rows as dicts, or the failure in words."""
+    try:
+        return {"ok": True, "content": [r.asDict(recursive=True) for r in call(spark, sf_dir, role, name, **args).limit(most).collect()]}
+    except (KeyError, PermissionError, ValueError) as e:
+        return {"ok": False, "content": str(e.args[0])}
 
 
 def agent(pending: DataFrame, search: Callable[[DataFrame, str], DataFrame], bar: float = 0.75, attempts: int = 3) -> DataFrame:

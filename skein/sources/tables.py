@@ -22,13 +22,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def upload_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Uploaded files as rows: path, document_hash of the raw bytes, content decoded as UTF-8 with replacement. Spark's
-    reader gives no row for an empty file."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return raw.select("path", F.sha2("content", 256).alias("document_hash"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, for work on their texts."""
     return spread(table(spark, sf_dir, "documents"))

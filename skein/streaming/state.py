@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunking import pack_sentences, redact
+from ..operators.index import apply_delta
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -37,6 +38,25 @@ def ingest(stream: DataFrame, target: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintain(stream: DataFrame, target: str, checkpoint: str):
+    """Each micro-batch of (document_id, content) becomes the chunk table's next version by hash difference: folders ``target/v0``,
+    ``v1`` and so on, each whole, so that readers keep the one they opened. Documents that the batch lacks stay as they are."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("document_id", F.posexplode(pack_sentences(redact(F.col("content")))).alias("idx", "chunk"))
+        new = new.select("document_id", "idx", F.sha2("chunk", 256).alias("content_hash"))
+        if number == 0:
+            table = new.withColumn("chunk_version", F.lit(1))
+        else:
+            old = spark.read.parquet(f"{target}/v{number - 1}")
+            seen = batch.select("document_id").distinct()
+            table = apply_delta(old.join(seen, "document_id", "left_semi"), new).unionByName(old.join(seen, "document_id", "left_anti"))
+        table.write.mode("overwrite").parquet(f"{target}/v{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: Keyed state with timers needs this store.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

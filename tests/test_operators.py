@@ -73,6 +73,12 @@ def test_tools_check_roles(spark):
     with pytest.raises(PermissionError):
         tools.call(spark, "/root/testdata/sf0.001", "client", "get_document_sources")
     assert tools.call(spark, "/root/testdata/sf0.001", "admin", "get_document_sources", limit=3).count() == 3
+    for args in ({"limit": 0}, {"limit": "3"}, {"other": 1}, {"limit": True}):
+        with pytest.raises(ValueError):
+            tools.call(spark, "/root/testdata/sf0.001", "admin", "get_document_sources", **args)
+    assert tools.answer(spark, "/root/testdata/sf0.001", "client", "nothing") == {"ok": False, "content": "no tool named nothing"}
+    assert len(tools.answer(spark, "/root/testdata/sf0.001", "client", "search_documents", question="the", top_k=2)["content"]) == 2
+    assert tools.call(spark, "/root/testdata/sf0.001", "admin", "get_active_rag_config").count() == 1
 
 
 def test_gate_values(spark):
@@ -161,13 +167,41 @@ def test_sinks_and_tables(spark, tmp_path):
     assert store.stored(spark, root, "query_log").count() == 0
 
 
+def pdf(*pages, packed=True):
+    """A small file with these content streams."""
+    import zlib
+
+    out, n = b"%PDF-1.4\n", 10
+    for content in pages:
+        data = zlib.compress(content) if packed else content
+        out += b"%d 0 obj << /Type /Page /Contents %d 0 R >> endobj\n%d 0 obj << /Length %d %s >> stream\n%s\nendstream endobj\n" % (n, n + 1, n + 1, len(data), b"/Filter /FlateDecode" if packed else b"", data)
+        n += 2
+    return out + b"1 0 obj << /Type /Pages >> endobj\n%%EOF"
+
+
 def test_uploads_are_decoded(spark, tmp_path):
-    from skein.sources import tables
+    from skein.sources import pdf as reader
 
+    one, two = b"BT (Hello \\(PDF\\) ) Tj [(wor) -20 (ld)] TJ 0 -14 Td (caf\\351) Tj ET", b"BT <FEFF00E9> Tj ET"
+    assert reader.pdf_pages(pdf(one, two)) == ["Hello (PDF) world\ncaf\u00e9", "\u00e9"] == reader.pdf_pages(pdf(one, two, packed=False))
+    assert reader.pdf_pages(b"no pdf") == [] and reader.pdf_pages(pdf(b"")) == [""]
     (tmp_path / "a.txt").write_bytes("héllo".encode() + b"\xff")
     (tmp_path / "b.md").write_bytes(b"x")
-    got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in tables.upload_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "héllo\ufffd", "b.md": "x"}
+    (tmp_path / "c.PDF").write_bytes(pdf(one, two))
+    got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in reader.uploads(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "héllo\ufffd", "b.md": "x", "c.PDF": "Hello (PDF) world\ncaf\u00e9\n\u00e9\n"}
+
+
+def test_index_maintenance_by_batches(spark, tmp_path):
+    docs = lambda *x: spark.createDataFrame(list(x), "document_id int, content string").coalesce(1)
+    src, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    docs((1, "One sentence here. Two."), (2, "stays")).write.parquet(src)
+    run = lambda: state.maintain(spark.readStream.schema("document_id int, content string").parquet(src), target, cp).awaitTermination()
+    run()
+    docs((1, "Another sentence."), (3, "new")).write.mode("append").parquet(src)
+    run()
+    got = {r["document_id"]: r["chunk_version"] for r in spark.read.parquet(f"{target}/v1").collect()}
+    assert got == {1: 2, 2: 1, 3: 1} and spark.read.parquet(f"{target}/v0").count() == 2
 
 
 def test_constraints_back_off(spark):
