@@ -362,3 +362,48 @@ def chunk_index_backfill(spark, sf_dir):
     c = document(spark, sf_dir).select(F.col("id").alias("document_id"), F.posexplode(F.split("content", "\n", -1)).alias("p", "l"))
     c = c.select("document_id", F.md5(F.col("l").cast("binary")).alias("content_hash"), (F.col("p") * 3 + 7).alias("pos"))
     return c.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("pos")) - 1).select("document_id", "content_hash", F.col("idx").cast("long").alias("idx"))
+
+
+def context_hits(marks: DataFrame, ttl_s: int = 1800) -> DataFrame:
+    """Session context cache: adds hit to lookups (key, id, ts, store): the newest store before is at most the time to live old. Uses do
+    not prolong it."""
+    w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    stored = F.max(F.when(F.col("store"), F.col("ts"))).over(w)
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(stored.cast("timestamp"))
+    return marks.withColumn("hit", F.coalesce(age <= ttl_s * 1_000_000, F.lit(False))).where("NOT store").drop("store")
+
+
+_STORES = "SELECT user_id AS key, event_id AS id, ts, event_type IN ('purchase', 'signup') AS store FROM events"
+
+
+def _stores(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").isin("purchase", "signup").alias("store"))
+
+
+@query(f"WITH e AS ({_STORES}), w AS (SELECT *, max(CASE WHEN store THEN ts END) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM e) SELECT id, coalesce(ts - at <= INTERVAL 30 MINUTE, false) AS hit FROM w WHERE NOT store")
+def session_context_hits(spark, sf_dir):
+    """Follow-up turns that find their session's chunks: purchases and signups store, the other events look up."""
+    return context_hits(_stores(spark, sf_dir)).select("id", "hit")
+
+
+def session_stats(stores: DataFrame, as_of: str, ttl_s: int = 1800) -> DataFrame:
+    """One row: sessions (key, ts, chunks) that still hold context at a time, and their chunks; the newest store of a session counts."""
+    t = F.lit(as_of).cast("timestamp_ntz")
+    last = stores.where(F.col("ts") <= t).groupBy("key").agg(F.max_by("chunks", F.struct("ts", "id")).alias("chunks"), F.max("ts").alias("ts"))
+    live = last.where(F.col("ts") >= t - F.expr(f"interval {ttl_s} seconds"))
+    return live.agg(F.count("*").alias("active_sessions"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("total_cached_chunks"))
+
+
+@query(f"WITH e AS ({_STORES}), l AS (SELECT key, max(ts) AS ts, arg_max(id % 5 + 1, (ts, id)) AS chunks FROM e WHERE store AND ts <= TIMESTAMP '{AS_OF}' GROUP BY 1) SELECT count(*) AS active_sessions, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS total_cached_chunks FROM l WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 43200 SECOND")
+def session_cache_stats(spark, sf_dir):
+    """With a time to live of half a day, which the fixture reaches."""
+    s = _stores(spark, sf_dir).where("store").select("key", "id", "ts", (F.col("id") % 5 + 1).alias("chunks"))
+    return session_stats(s, AS_OF, 43200)
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(coalesce(n, 0) AS BIGINT) AS documents FROM nation LEFT JOIN (SELECT project_id, count(*) AS n FROM {document} WHERE is_active GROUP BY 1) ON project_id = n_nationkey")
+def projects_list(spark, sf_dir):
+    """All projects, with their active documents."""
+    n = document(spark, sf_dir).where("is_active").groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return p.join(n, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("documents"))

@@ -289,6 +289,12 @@ def conflict_severity(spark, sf_dir):
     return conflict_summary(conflict_pairs(facts(spark, sf_dir)))
 
 
+@query(_CONF + " SELECT DISTINCT query_id, unnest([a_id, b_id]) AS id FROM p WHERE len(fam) > 0")
+def conflict_ids(spark, sf_dir):
+    """The chunks of each list that a conflict names."""
+    return conflict_pairs(facts(spark, sf_dir)).select("query_id", F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
+
+
 @query("SELECT id, family, reference, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT id, {i} AS family, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS reference FROM {{facts}}" for i, p in enumerate(REFERENCES)) + ") GROUP BY ALL")
 def xref_detect(spark, sf_dir):
     """References by family; their places are checked against the text."""
