@@ -380,7 +380,7 @@ def _stores(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").isin("purchase", "signup").alias("store"))
 
 
-@query(f"WITH e AS ({_STORES}), w AS (SELECT *, max(CASE WHEN store THEN ts END) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM e) SELECT id, coalesce(ts - at <= INTERVAL 30 MINUTE, false) AS hit FROM w WHERE NOT store")
+@query(f"WITH e AS ({_STORES}), w AS (SELECT *, max(CASE WHEN store THEN ts END) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM e) SELECT id, coalesce(ts - stored <= INTERVAL 30 MINUTE, false) AS hit FROM w WHERE NOT store")
 def session_context_hits(spark, sf_dir):
     """Follow-up turns that find their session's chunks: purchases and signups store, the other events look up."""
     return context_hits(_stores(spark, sf_dir)).select("id", "hit")
