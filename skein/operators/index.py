@@ -30,13 +30,14 @@ class Index:
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "id", text_col: str = "content", group_col: str | None = "project_id") -> Index:
-    """Full rebuild. Term counts are combined before the shuffle (a document is in one task), hot terms are split by id."""
+    """Full rebuild in one shuffle: term counts are combined before it, as a document is in one task; it deals postings by term and id, so
+    hot terms are split, and every file is sorted by term, so that a search skips what its terms do not need."""
     index = Index(docs.sparkSession, folder)
     grp = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
     t = docs.select(F.col(id_col).alias("id"), grp.alias("grp"), tokens(F.coalesce(text_col, F.lit(""))).alias("t"))
     t.select("grp", "id", F.size("t").alias("dl")).write.mode("overwrite").parquet(f"{folder}/docs")
     post = t.select("id", "grp", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "grp", "dl", "term").agg(F.count("*").alias("tf"))
-    post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").select("term", "id", "grp", "tf", "dl").write.mode("overwrite").parquet(f"{folder}/postings")
+    post.sortWithinPartitions("term", "id").select("term", "id", "grp", "tf", "dl").write.mode("overwrite").parquet(f"{folder}/postings")
     df = index.postings.groupBy("grp", "term").agg(F.count("*").alias("df"))
     df.groupingSets([["grp", "term"], ["term"]], "grp", "term").agg(F.sum("df").alias("df")).sort("term").write.mode("overwrite").parquet(f"{folder}/terms")
     sizes = index.docs.groupingSets([["grp"], []], "grp").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
