@@ -405,6 +405,16 @@ def test_personal_query_against_brute_force(spark, tmp_path):
             assert [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in listed if k != "term"] == sorted(want)
 
 
+def test_sanitise_edges(spark, empty):
+    """Spans go from start to end, overlapping ones once; long texts, nulls, repeats, an empty table, a column of the helper's name."""
+    long = "x " * 100_000 + "mail a@b.cd and 10.0.0.1" + " y" * 100_000
+    texts = [None, "", "a@b.cd", "a@b.cd", long, "1.2.3.4, 4111 1111 1111 1111", "plain"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_pii", F.lit(5))
+    rows_ = pii.sanitise(d).collect()
+    assert {r["doc_id"]: r["text"] for r in rows_} == {0: None, 1: "", 2: "[EMAIL]", 3: "[EMAIL]", 4: long.replace("a@b.cd", "[EMAIL]").replace("10.0.0.1", "[IP]"), 5: "[IP], [CARD]", 6: "plain"}
+    assert {r["_pii"] for r in rows_} == {5} and pii.sanitise(empty).count() == 0
+
+
 def plain_terms(texts, share=0.8, bits=4.0, reach=3, prior=0.5):
     """Disclosing terms, counted over distinct lines one by one."""
     lines, ends, n = {}, {}, 0
