@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EDGE, END, GROUND_STOPWORDS, KEYWORD_STOPWORDS, blank_words, has_any, jaccard, n_words, overlap, sentences, sentences_sql, spans, strings
 from ..plans import query
+from ..sources.store import cut
 from ..sources.tables import document, facts, table, turns
 from .classify import keyword_list
 from .index import candidate_k, hybrid, lexical
@@ -337,7 +338,7 @@ ag AS (SELECT query_id, id, avg(len(list_intersect(aw, bw)) / CAST(len(list_dist
 
 def _rows(spark, d):
     docs = document(spark, d).select("id", F.col("content").alias("text"), "filename", F.col("upload_day").alias("age_days"))
-    return bm25_topk(spark, d).join(docs, "id")
+    return cut(bm25_topk(spark, d).join(docs, "id"))
 
 
 @query(_ROWS + _AGREE + " SELECT query_id, id, round(agreement, 4) AS agreement FROM ag")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import english_stop_words, long_tokens, tokens
 from ..plans import query
+from ..sources.store import cut
 from ..sources.tables import document, table
 from .index import Index, apply_delta, build, candidate_k, hybrid, index_of, lexical, top_k
 
@@ -255,7 +256,7 @@ hy AS (SELECT query_id, first[3] AS id, CASE WHEN first[1] = 0 THEN 'semantic' E
 
 def hybrid_lists(spark, d, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Candidate lists of every item in its own project: by vector and by words."""
-    return _semantic(spark, d, candidate_k(k)), lexical(_index(spark, d), _grouped_items(spark, d), candidate_k(k), grouped=True)
+    return cut(_semantic(spark, d, candidate_k(k))), cut(lexical(_index(spark, d), _grouped_items(spark, d), candidate_k(k), grouped=True))
 
 
 @query(f"{_HYBRID} SELECT query_id, CAST(id AS BIGINT) AS id, origin, rrf, rrf_rank FROM hy")
@@ -332,7 +333,7 @@ _LIST = "lst AS (SELECT query_id, rank AS member, b AS text FROM c UNION ALL SEL
 
 def _retrieved(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
-    return bm25_topk(spark, d).join(docs, "id").join(_items(spark, d), "query_id")
+    return cut(bm25_topk(spark, d).join(docs, "id").join(_items(spark, d), "query_id"))
 
 
 def with_base(rows: DataFrame, text: str, base: DataFrame) -> DataFrame:

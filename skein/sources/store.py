@@ -23,6 +23,14 @@ def home(spark: SparkSession) -> str:
     return named
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, for a short list that several parts of a plan read."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(home(df.sparkSession))
+    return df.checkpoint()
+
+
 def folder_of(spark: SparkSession, name: str, source: str) -> str:
     """A folder for what is derived from a source, of this application."""
     return f"{home(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(source.encode()).hexdigest()[:16]}"
