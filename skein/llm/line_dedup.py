@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, text_or_empty
+from .common import broadcast_if_small, cut, fresh, table, text_or_empty
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,9 +116,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
 
 def _later(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of each interval (depth, rank, rank2) but the first, with it. The first of a hot interval is found by a partial minimum."""
+    """The rows of each interval (depth, rank, rank2) but the first, with it. The firsts are partial minima, written out: few of them are
+    broadcast, of many the join is one of plain shuffles, which AQE splits where an interval is hot."""
     at = F.struct(*key, "pos")
-    firsts = rows.groupBy("depth", "rank", "rank2").agg(F.min(at).alias("first"))
+    firsts = broadcast_if_small(cut(rows.groupBy("depth", "rank", "rank2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")))
     return rows.join(firsts, ["depth", "rank", "rank2"]).where(~at.eqNullSafe(F.col("first"))).select(*key, "pos", "depth", "first")
 
 
