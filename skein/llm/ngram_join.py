@@ -174,21 +174,32 @@ def _compare(batches: Iterator[pd.DataFrame], least: int, similarity: float) ->
     yield pd.DataFrame({"u": us, "v": vs})
 
 
+#: Up to so many edges the minima of their ends are broadcast; beyond that both sides of a join are plain shuffles, which AQE splits
+#: where one end has very many edges.
+FEW_EDGES = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for all nodes of the edges (u, v), by alternating large and small stars; minima are partial aggregates."""
     e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
+    n, seen = e.count(), None
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(least) if n <= FEW_EDGES else cut(least), "u")
+
+    while n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if n > FEW_EDGES:
+            e = cut(e)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct()
+        e = with_least(e, low).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct()
         e = cut(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        n, seen = now[0], now
     return e.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(e.select("v", F.col("v").alias("label")).distinct())
 
 
