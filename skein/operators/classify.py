@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EDGE, END, KEYWORD_STOPWORDS, blank_words, has_any, n_of, n_words, strings
 from ..plans import query
-from ..sources.tables import questions, table, token_usage, turns
+from ..sources.tables import questions, token_usage, turns
 
 # The phrase lists and patterns of the classifiers.
 ANALYTICAL = ["compare", "contrast", "difference", "versus", "vs", "advantage", "disadvantage", "tradeoff", "trade-off", "why", "explain", "how does", "what happens when", "analyze", "evaluate", "assess", "impact", "effect"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_words
 from ..plans import query
-from ..sources.tables import questions, table, token_usage
+from ..sources.tables import questions, table
 from .analytics import _SPEND, _usage, spend
 from .classify import model_tier
 

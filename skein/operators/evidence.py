@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import EDGE, END, GROUND_STOPWORDS, KEYWORD_STOPWORDS, blank_words, has_any, jaccard, n_words, overlap, sentences, sentences_sql, spans, strings
 from ..plans import query
 from ..sources.store import cut
-from ..sources.tables import document, facts, table, turns
+from ..sources.tables import document, facts, turns
 from .classify import keyword_list
 from .index import candidate_k, hybrid, lexical
 from .retrieval import _BM25, _HYBRID, _PAIRS, _index, _items, _retrieved, against_sql, bm25_sql, bm25_topk, hybrid_lists, tfidf_against, tfidf_cosine, with_base, words_sql

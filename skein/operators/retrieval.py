@@ -7,20 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import english_stop_words, long_tokens, tokens
+from ..functions.text import english_stop_words, long_tokens
 from ..plans import query
 from ..sources.store import cut
 from ..sources.tables import document, table
 from .index import Index, apply_delta, build, candidate_k, hybrid, index_of, lexical, top_k
 
-SMALL = 100_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """Broadcast only what has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048, by: str | None = None) -> DataFrame:
     """(query_id, id, score = squared L2 distance, rank). Exact. Queries (query_id, v) go out in blocks of bounded size, one scan of
     the vectors a block; every task keeps k candidates a query over all its batches, so only those are shuffled. With ``by``, a
