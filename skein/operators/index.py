@@ -18,13 +18,13 @@ SMALL = 100_000
 
 class Index:
     """Tables of a stored index: postings (term, id, grp, tf, dl) sorted by term, terms (grp, term, df), sizes (grp, n, avgdl,
-    mean) and docs (grp, id). Rows of terms and sizes whose grp is null hold for the whole corpus."""
+    mean), docs (grp, id), and vectors (id, v, grp) where they were given. Rows of terms and sizes whose grp is null hold for the whole corpus."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("postings", "terms", "sizes", "docs"):
+        if name in ("postings", "terms", "sizes", "docs", "vectors"):
             return self.spark.read.parquet(f"{self.folder}/{name}")
         raise AttributeError(name)
 
@@ -33,7 +33,7 @@ def build(docs: DataFrame, folder: str, id_col: str = "id", text_col: str = "con
     """Full rebuild in one shuffle: term counts are combined before it, as a document is in one task; it deals postings by term and id, so
     hot terms are split, and every file is sorted by term, so that a search skips what its terms do not need."""
     index = Index(docs.sparkSession, folder)
-    grp = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
+    grp = F.coalesce(F.col(group_col).cast("long"), F.lit(-1)) if group_col else F.lit(0).cast("long")  # documents of no group are one of their own
     t = docs.select(F.col(id_col).alias("id"), grp.alias("grp"), tokens(F.coalesce(text_col, F.lit(""))).alias("t"))
     t.select("grp", "id", F.size("t").alias("dl")).write.mode("overwrite").parquet(f"{folder}/docs")
     post = t.select("id", "grp", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "grp", "dl", "term").agg(F.count("*").alias("tf"))
@@ -51,15 +51,31 @@ def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-_BUILT: dict[tuple[str, str], Index] = {}
+def build_vectors(vectors: DataFrame, folder: str) -> Index:
+    """The vector side (id, v, grp), as the embedder gave it; a search scans it whole, so it is only written."""
+    vectors.select("id", "v", "grp").write.mode("overwrite").parquet(f"{folder}/vectors")
+    return Index(vectors.sparkSession, folder)
+
+
+_BUILT: set[str] = set()
 
 
 def index_of(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Index:
     """The index of a corpus, built at the first use in an application and read from storage afterwards."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        _BUILT[key] = build(docs, folder_of(spark, "index", sf_dir))
-    return Index(spark, _BUILT[key].folder)
+    return _kept(spark, "index", sf_dir, lambda folder: build(docs, folder))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
+    """The vectors of a corpus (id, v, grp), embedded and stored at the first use."""
+    return _kept(spark, "vectors", sf_dir, lambda folder: build_vectors(vectors, folder)).vectors
+
+
+def _kept(spark: SparkSession, name: str, sf_dir: str, make) -> Index:
+    folder = folder_of(spark, name, sf_dir)
+    if folder not in _BUILT:
+        make(folder)
+        _BUILT.add(folder)
+    return Index(spark, folder)
 
 
 def lexical(index: Index, queries: DataFrame, k: int = 5, grouped: bool = False) -> DataFrame:

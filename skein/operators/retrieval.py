@@ -11,7 +11,7 @@ from ..functions.text import english_stop_words, long_tokens
 from ..plans import query
 from ..sources.store import cut
 from ..sources.tables import document, table
-from .index import Index, apply_delta, build, candidate_k, hybrid, index_of, lexical, top_k
+from .index import Index, apply_delta, build, candidate_k, hybrid, index_of, lexical, top_k, vectors_of
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048, by: str | None = None) -> DataFrame:
     """(query_id, id, score = squared L2 distance, rank). Exact. Queries (query_id, v) go out in blocks of bounded size, one scan of
@@ -219,7 +219,8 @@ def embedded(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _semantic(spark, d, k: int) -> DataFrame:
-    return vector_top_k(*embedded(spark, d), k, by="grp")
+    docs, items = embedded(spark, d)
+    return vector_top_k(vectors_of(spark, d, docs), items, k, by="grp")
 
 
 def _grouped_items(spark, d):

@@ -36,6 +36,19 @@ def test_bm25_fills_up_with_zero_scores(spark, tmp_path):
     got = index.lexical(index.build(docs, str(tmp_path / "i"), "doc_id", "text", None), q, 3).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 8] == [1, 2, 3]
     assert len([r for r in got if r["query_id"] == 7]) == 3
+    none = index.build(docs.limit(0), str(tmp_path / "none"), "doc_id", "text", None)
+    assert index.lexical(none, q, 3).count() == 0 and index.lexical(none, q.withColumn("grp", F.lit(0)), 3, grouped=True).count() == 0
+
+
+def test_grouped_search_sees_its_own_group(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple pie", 0), (2, "apple", 1), (3, "pie pie", 1), (4, "x", None)], "id long, content string, project_id int")
+    i = index.build(docs, str(tmp_path / "i"))
+    q = spark.createDataFrame([(7, "apple", 0), (8, "pie", 1)], "query_id long, q string, grp long")
+    assert sorted((r["query_id"], r["id"]) for r in index.lexical(i, q, 5, grouped=True).collect()) == [(7, 1), (8, 2), (8, 3)]
+    whole = index.lexical(i, q.drop("grp"), 5)
+    assert whole.count() == 8 and i.sizes.where("grp IS NULL").count() == 1
+    plain = index.build(docs, str(tmp_path / "plain"), "id", "content", None)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, index.lexical(plain, q.drop("grp"), 5).collect()))
 
 
 def test_vector_top_k_in_blocks_equals_one_block(spark):
