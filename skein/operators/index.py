@@ -39,7 +39,7 @@ def build(docs: DataFrame, folder: str, id_col: str = "id", text_col: str = "con
     post = t.select("id", "grp", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "grp", "dl", "term").agg(F.count("*").alias("tf"))
     post.sortWithinPartitions("term", "id").select("term", "id", "grp", "tf", "dl").write.mode("overwrite").parquet(f"{folder}/postings")
     df = index.postings.groupBy("grp", "term").agg(F.count("*").alias("df"))
-    df.groupingSets([["grp", "term"], ["term"]], "grp", "term").agg(F.sum("df").alias("df")).sort("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    df.groupingSets([["grp", "term"], ["term"]], "grp", "term").agg(F.sum("df").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
     sizes = index.docs.groupingSets([["grp"], []], "grp").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = index.terms.join(F.broadcast(sizes.withColumnRenamed("grp", "g")), F.col("grp").eqNullSafe(F.col("g")))  # a row a group
     mean = raw.groupBy("g").agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("mean")).withColumnRenamed("g", "m")
