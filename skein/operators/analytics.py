@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import query
@@ -286,10 +286,15 @@ def spend(usage: DataFrame) -> DataFrame:
     return usage.withColumn("h", F.sum("c").over(w.rangeBetween(-3599, 0))).withColumn("d", F.sum("c").over(w.rangeBetween(-86399, 0)))
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a wall-clock time in any session time zone, fractions rounded to the nearest, halves to even."""
+    since = ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return (part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + F.bround(part("SECOND"), 0).cast("long")).cast("long")
+
+
 def _usage(spark, d):
-    u = token_usage(spark, d)
-    t = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    return u.select("id", "user_id", t.alias("t"), (F.col("input_tokens") / 1000.0).alias("c"))
+    return token_usage(spark, d).select("id", "user_id", epoch_seconds(F.col("timestamp")).alias("t"), (F.col("input_tokens") / 1000.0).alias("c"))
 
 
 @query(_SPEND + " SELECT id, CAST(round(h, 3) AS DOUBLE) AS hour, CAST(round(d, 3) AS DOUBLE) AS day FROM w")

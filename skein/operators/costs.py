@@ -61,7 +61,7 @@ def breaker(calls: DataFrame, hourly: float = HOURLY, daily: float = DAILY, cool
     """Adds decision to calls (id, user_id, t, h, d), with their spend of the last hour and day, themselves included. A call over a
     limit opens the breaker; while it is open calls are degraded; the first one after the cooldown is a probe, which closes it
     unless it is over a limit itself. As every breach restarts the cooldown, the last breach and the call before decide."""
-    w = Window.partitionBy("user_id").orderBy("t", "id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("t"), F.asc_nulls_last("id"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     over = (F.round("h", 3) > hourly) | (F.round("d", 3) > daily)
     c = calls.withColumn("over", over).withColumn("open", F.max(F.when(F.col("over"), F.col("t"))).over(before)).withColumn("was_t", F.lag("t").over(w)).withColumn("was_over", F.lag("over").over(w))

@@ -17,3 +17,28 @@ def test_against_sql(spark, name):
     want = duck(SF).sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def usage_events(spark, folder):
+    """Events at fractions of a second around the edges of the windows, at equal seconds in another order than their ids, and without a time."""
+    t = ["00:00:00.500000", "00:00:01.500000", "00:00:01.499999", "00:59:59.500000", "00:59:59.499999", "01:00:00.500001", "01:00:00.600000", "01:00:01.400000", "03:00:01.500000", None]
+    at = [(n, d, x) for d in ("2024-03-10", "2024-03-11", "1969-12-31") for n, x in enumerate(t)]
+    rows = [(3998 - 4000 * (i % 2) + 4000 * i - i % 7 * 300, u, x and f"{d} {x}") for u in (1, 2) for i, (_, d, x) in enumerate(at, 1 + 40 * u)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp_ntz) AS ts", "'click' AS event_type", "1.0D AS value")
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def holds(spark, folder, name):
+    got = rows(catalog.queries()[name](spark, folder).toPandas())
+    assert got == rows(duck(folder).sql(catalog.oracle_sql()[name]).df()) and len(got) == 60
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_breaker_decisions_at_fractions_of_seconds(spark, tmp_path, zone):
+    folder, was = usage_events(spark, tmp_path), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        holds(spark, folder, "breaker_decisions")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
