@@ -42,3 +42,7 @@ def test_breaker_decisions_at_fractions_of_seconds(spark, tmp_path, zone):
         holds(spark, folder, "breaker_decisions")
     finally:
         spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_breaker_state_at_fractions_of_seconds(spark, tmp_path):
+    holds(spark, usage_events(spark, tmp_path), "breaker_state")
