@@ -46,3 +46,7 @@ def test_breaker_decisions_at_fractions_of_seconds(spark, tmp_path, zone):
 
 def test_breaker_state_at_fractions_of_seconds(spark, tmp_path):
     holds(spark, usage_events(spark, tmp_path), "breaker_state")
+
+
+def test_spend_windows_at_fractions_of_seconds(spark, tmp_path):
+    holds(spark, usage_events(spark, tmp_path), "spend_windows")
