@@ -3,8 +3,10 @@
 The network (numpy, trained here) reads a candidate with its surrounding context, a long one in overlapping windows of which the highest
 score counts. It learns from findings of the corpus (base spans as secrets, other long strings as none) and from generated ones of forms
 that the base patterns miss. Documents are dealt by a hash of their text into folds: two train, one calibrates (Platt scaling, then the
-highest threshold that still reaches the wanted recall), one only tests; ``report`` holds recall and precision there. The bounds
-``training_findings`` (generated) and ``corpus_findings`` (of each label, those of the least hash) are parameters.
+highest threshold that still reaches the wanted recall), one only tests; ``report`` holds recall and precision there. All distinct findings
+of the corpus take part in each of these: training goes in rounds over shards of them, each with the generated ones, whose weights are
+averaged; sums and counts for calibration, threshold and test are taken where the findings lie. ``training_findings`` is the number of
+generated ones. ``corpus_findings`` and ``trained`` fit a bounded number of findings in one process, for a caller with few.
 
 Defined results: null and empty texts have no spans; equal rows give equal results; very long texts are read whole; spans are counted
 in code points with an exclusive end, and of equal starts the kind listed first comes first; base spans always stay, the network only
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +45,10 @@ _digit = re.compile(r"[0-9]", re.A)
 
 WIDTH, CONTEXT, STEP = 64, 24, 16
 _ALPHABET = 100
+#: Training over all findings: rounds, and about how many findings a shard holds. Sums of weights are exact in units of 2^-_UNIT; the
+#: threshold lies on a grid of 2^-_GRID of the logit, of which a bucket holds 2^_WIDE steps.
+ROUNDS, SHARD, _UNIT = 4, 4096, 40
+_GRID, _WIDE, _MOST = 20, 12, 1 << 27
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
@@ -93,6 +100,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([encode(*f[:3]) for f in found]), np.array([f[3] for f in found])
 
 
+_WEIGHTS = ("e", "w", "b", "v", "c")
+
+
 class CharNet:
     """Embedding, one convolution, max pooling and a logistic output; Adam with a fixed seed, plain numpy."""
 
@@ -124,12 +134,15 @@ class CharNet:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 512])[4] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
+    def of_logits(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+        return self.of_logits(self.logits(x))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, rate: float = 0.01, seed: int = 7) -> "CharNet":
         rng = np.random.default_rng(seed)
-        names = ("e", "w", "b", "v", "c")
+        names = _WEIGHTS
         m = {n: np.zeros_like(getattr(self, n)) for n in names}
         s = {n: np.zeros_like(getattr(self, n)) for n in names}
         step = 0
@@ -161,17 +174,49 @@ class CharNet:
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> "CharNet":
         """Platt scaling by Newton steps, then the highest threshold with the wanted recall."""
         z = self.logits(x)
-        a = np.array([1.0, 0.0])
-        design = np.stack([z, np.ones_like(z)], 1)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
-            hess = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-            a = a - np.linalg.solve(hess, design.T @ (p - y) + 1e-3 * (a - [1, 0]))
-        self.scale, self.shift = map(float, a)
+        self.scale, self.shift = platt(lambda a: logistic_sums(a, z, y))
         positive = np.sort(self.probability(x)[y == 1])
         self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))]) if len(positive) else 0.5
         return self
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in _WEIGHTS])
+
+    def load(self, flat: np.ndarray) -> "CharNet":
+        at = 0
+        for n in _WEIGHTS:
+            now = getattr(self, n)
+            setattr(self, n, np.array(flat[at : at + now.size], dtype=float).reshape(now.shape))
+            at += now.size
+        return self
+
+
+def logistic_sums(a: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over the findings for one Newton step at (scale, shift): those of the second derivatives (zz, z, 1), of the first (z, 1), and
+    the loss."""
+    u = a[0] * z + a[1]
+    p = 1 / (1 + np.exp(-np.clip(u, -30, 30)))
+    w = p * (1 - p)
+    return np.array([(w * z * z).sum(), (w * z).sum(), w.sum(), ((p - y) * z).sum(), (p - y).sum(), (np.maximum(u, 0) - u * y + np.log1p(np.exp(-np.abs(u)))).sum()])
+
+
+def platt(sums: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
+    """Scale and shift by Newton steps on ``sums``, halved where the loss would grow, until they stand still. The scale stays above 0, so
+    that scores keep the order of the logits."""
+    prior = np.array([1.0, 0.0])
+    loss = lambda a, s: s[5] + 5e-4 * ((a - prior) ** 2).sum()
+    a, now = prior, sums(prior)
+    for _ in range(25):
+        step = np.linalg.solve(np.array([[now[0], now[1]], [now[1], now[2]]]) + 1e-3 * np.eye(2), now[3:5] + 1e-3 * (a - prior))
+        then = sums(a - step)
+        while loss(a - step, then) > loss(a, now) and np.abs(step).max() >= 1e-9:
+            step = step / 2
+            then = sums(a - step)
+        if np.abs(step).max() < 1e-9:
+            break
+        a, now = a - step, then
+    return max(float(a[0]), 1e-3), float(a[1])
+
 
 Finding = tuple[str, int, int, float]
 
@@ -186,16 +231,32 @@ def trained(n: int = 3000, seed: int = 7, recall: float = 0.95, found: tuple[tup
     the second part, tested on the third and on further generated ones. Candidates over WIDTH characters have a threshold of their
     own, which reaches the recall on generated findings that are joined to a path, scored by windows. A few seconds, bounded by n and
     the number found."""
-    every = _generated(n, seed)
-    part = n * 2 // 3
-    fit, held, test = [*every[:part], *found[0]], [*every[part:], *found[1]], [*_generated(max(n // 4, 1), seed + 2), *found[2]]
-    codes = lambda fs: (np.array([encode(*f[:3]) for f in fs]), np.array([f[3] for f in fs]))
-    net = CharNet(seed=seed).fit(*codes(fit), seed=seed).calibrate(*codes(held), recall)
-    long = [f[:3] for f in labelled_texts(n - part, seed + 1, joined=True) if f[3] and _loose.fullmatch(*f[:3])]
+    fit, held, test = (a + b for a, b in zip(_parts(n, seed), map(list, found)))
+    net = CharNet(seed=seed).fit(*_coded(fit), seed=seed).calibrate(*_coded(held), recall)
+    _threshold_of_long(net, n, seed, recall)
+    x, y = _coded(test)
+    p, y = net.probability(x) >= net.threshold, y == 1
+    return _report(net, int((p & y).sum()), int(y.sum()), int(p.sum()), len(test), len(found[2]))
+
+
+def _parts(n: int, seed: int) -> tuple[list[Finding], list[Finding], list[Finding]]:
+    """Generated findings to train, to calibrate and to test."""
+    every, part = _generated(n, seed), n * 2 // 3
+    return [*every[:part]], [*every[part:]], [*_generated(max(n // 4, 1), seed + 2)]
+
+
+def _coded(found: list[Finding]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([encode(*f[:3]) for f in found]), np.array([f[3] for f in found])
+
+
+def _threshold_of_long(net: CharNet, n: int, seed: int, recall: float) -> None:
+    long = [f[:3] for f in labelled_texts(n - n * 2 // 3, seed + 1, joined=True) if f[3] and _loose.fullmatch(*f[:3])]
     if long:
         net.long_threshold = float(np.sort(best_scores(net, long))[int(np.floor((1 - recall) * len(long)))])
-    p, y = net.probability(codes(test)[0]) >= net.threshold, codes(test)[1] == 1
-    net.report = {"tested": len(test), "of_corpus": len(found[2]), "recall": float(p[y].mean()) if y.any() else None, "precision": float(y[p].mean()) if p.any() else None}
+
+
+def _report(net: CharNet, hit: int, positive: int, kept: int, tested: int, of_corpus: int) -> CharNet:
+    net.report = {"tested": tested, "of_corpus": of_corpus, "recall": hit / positive if positive else None, "precision": hit / kept if kept else None}
     return net
 
 
@@ -247,9 +308,9 @@ def best_scores(model: CharNet, spans: Iterable[tuple[str, int, int]], most: int
     return best
 
 
-def corpus_findings(docs: DataFrame, text_col: str = "text", most: int = 2000) -> tuple[tuple[Finding, ...], ...]:
-    """Findings of the corpus for training, calibration and test: each with its surroundings, labelled by whether it is a base span. All
-    are found and written out; of each label at most ``most``, those of the least hash, come to the driver."""
+def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(fold, text, start, end, label, h): all distinct findings of the corpus, each with its surroundings, labelled by whether it is a base
+    span; written out, as they are read more than once."""
 
     @F.pandas_udf("array<struct<text:string,start:int,end:int,label:double>>")
     def find(texts: pd.Series) -> pd.Series:
@@ -262,7 +323,13 @@ def corpus_findings(docs: DataFrame, text_col: str = "text", most: int = 2000) -
 
     t = text_or_empty(text_col)
     rows = docs.select(F.pmod(F.xxhash64(t), F.lit(4)).alias("fold"), F.explode(find(t)).alias("f")).select("fold", "f.*").distinct()
-    rows = cut(rows.withColumn("h", F.xxhash64("text", "start")))
+    return cut(rows.withColumn("h", F.xxhash64("text", "start")))
+
+
+def corpus_findings(docs: DataFrame, text_col: str = "text", most: int = 2000) -> tuple[tuple[Finding, ...], ...]:
+    """A bounded number of findings for training, calibration and test in one process (``trained``): of each label at most ``most``, those
+    of the least hash. ``find_secrets`` takes all of them (``trained_on``)."""
+    rows = findings(docs, text_col)
     parts: tuple[list[Finding], ...] = ([], [], [])
     for label in (0.0, 1.0):
         own = rows.where(F.col("label") == label)
@@ -274,14 +341,93 @@ def corpus_findings(docs: DataFrame, text_col: str = "text", most: int = 2000) -
     return tuple(map(tuple, parts))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", training_findings: int = 3000, corpus_findings_most: int = 2000, recall: float = 0.95, model: CharNet | None = None) -> DataFrame:
+def _round(net: CharNet, rows: DataFrame, generated: list[Finding], seed: int) -> np.ndarray:
+    """The mean of the weights that each shard of ``rows`` comes to from those of ``net``, in one epoch over its findings and the
+    generated ones. Weights are summed as whole numbers, so that the order in which shards end makes no difference."""
+    flat, x, y = net.weights(), *_coded(generated)
+
+    def shard(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["h", "text", "start", "end", "fold", "label"])
+        own, label = _coded(list(found[["text", "start", "end", "label"]].itertuples(index=False, name=None)))
+        after = CharNet().load(flat).fit(np.concatenate([x, own]), np.concatenate([y, label]), epochs=1, rate=0.003, seed=seed).weights()
+        return pd.DataFrame({"at": np.arange(len(after)), "w": np.rint(after * 2.0**_UNIT).astype(np.int64)})
+
+    sums = rows.groupBy("shard").applyInPandas(shard, "at long, w long").groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()  # a row a weight
+    for r in sums:
+        flat[r["at"]] = r["w"] / r["n"] / 2.0**_UNIT
+    return flat
+
+
+def _nth(positive: DataFrame, more: np.ndarray, n: int) -> int:
+    """The n-th least (from 0) of the grid values ``q`` of the rows and ``more``, counted first by buckets, then inside one of them."""
+
+    def reach(values: Counter, n: int) -> tuple[int, int]:
+        for v in sorted(values):
+            if n < values[v]:
+                return v, n
+            n -= values[v]
+        raise ValueError("fewer values than n")
+
+    def counted(rows: DataFrame, by, values) -> Counter:
+        return Counter({r["v"]: r["count"] for r in rows.groupBy(by.alias("v")).count().collect()}) + Counter(values)  # bounded by _MOST and _WIDE
+
+    bucket, n = reach(counted(positive, F.shiftright("q", _WIDE), (more >> _WIDE).tolist()), n)
+    return reach(counted(positive.where(F.shiftright("q", _WIDE) == bucket), F.col("q"), more[more >> _WIDE == bucket].tolist()), n)[0]
+
+
+def trained_on(docs: DataFrame, text_col: str = "text", n: int = 3000, seed: int = 7, recall: float = 0.95, rounds: int = ROUNDS, shard: int = SHARD) -> CharNet:
+    """As ``trained``, over all findings of the corpus. The network starts from the generated findings and goes over the training folds
+    in ``rounds``, in shards of about ``shard`` findings; the driver holds its weights, counts and the generated findings only."""
+    found = findings(docs, text_col)
+    fit, held, test = _parts(n, seed)
+    net = CharNet(seed=seed).fit(*_coded(fit), seed=seed)
+    total = found.where("fold < 2").count()
+    if total:
+        shards = -(-total // shard)
+        rows = found.where("fold < 2").withColumn("shard", F.pmod(F.xxhash64("h", "text", "end"), F.lit(shards))).repartition(shards, "shard")
+        for k in range(rounds):
+            net.load(_round(net, rows, fit, seed + k))
+    flat = net.weights()
+
+    @F.pandas_udf("double")
+    def logit(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series(CharNet().load(flat).logits(np.array([encode(*f) for f in zip(text, start, end)])))
+
+    scored = cut(found.where("fold >= 2").select("fold", "label", logit("text", "start", "end").alias("z")))
+    mine, z = scored.where("fold = 2"), F.col("z")
+    (x, y), (x3, y3) = _coded(held), _coded(test)
+    own = net.logits(x)
+
+    def sums(a: np.ndarray) -> np.ndarray:
+        u = float(a[0]) * z + float(a[1])
+        p = 1 / (1 + F.exp(-F.greatest(F.least(u, F.lit(30.0)), F.lit(-30.0))))
+        w, d = p * (1 - p), p - F.col("label")
+        off = F.greatest(u, F.lit(0.0)) - u * F.col("label") + F.log1p(F.exp(-F.abs(u)))
+        row = mine.select(*[F.coalesce(F.sum(e), F.lit(0.0)) for e in (w * z * z, w * z, w, d * z, d, off)]).first()
+        return logistic_sums(a, own, y) + np.array(row)
+
+    net.scale, net.shift = platt(sums)
+    grid = F.greatest(F.least(F.floor(z * 2.0**_GRID), F.lit(_MOST - 1)), F.lit(-_MOST)).cast("long")
+    positive = mine.where("label = 1").select(grid.alias("q"))
+    more = np.clip(np.floor(own[y == 1] * 2.0**_GRID), -_MOST, _MOST - 1).astype(np.int64)
+    many = positive.count() + len(more)
+    bar = _nth(positive, more, int(np.floor((1 - recall) * many))) / 2.0**_GRID if many else None
+    net.threshold = net.of_logits(np.array([bar]))[0] if many else 0.5
+    _threshold_of_long(net, n, seed, recall)
+    p3 = net.probability(x3) >= net.threshold
+    kept, secret = (z >= bar if many else net.scale * z + net.shift >= 0), F.col("label") == 1
+    t = scored.where("fold = 3").agg(F.count("*"), F.count_if(secret), F.count_if(kept), F.count_if(kept & secret)).first()
+    return _report(net, t[3] + int((p3 & (y3 == 1)).sum()), t[1] + int((y3 == 1).sum()), t[2] + int(p3.sum()), t[0] + len(y3), t[0])
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", training_findings: int = 3000, recall: float = 0.95, model: CharNet | None = None) -> DataFrame:
     """Adds ``out``: array of (kind, start, end, value, score), by start, then kind. Base findings have the
     network's calibrated score as information only; added ones reach the recall-constrained threshold. Without a ``model`` one is
-    trained on the table itself."""
+    trained on all findings of the table itself."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     if model is None:
-        model = trained(training_findings, recall=recall, found=corpus_findings(docs, text_col, corpus_findings_most))
+        model = trained_on(docs, text_col, training_findings, recall=recall)
     net = spark.sparkContext.broadcast(model)  # a few thousand weights
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long,value:string,score:double>>")
