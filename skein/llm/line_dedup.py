@@ -89,7 +89,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         done = state.select(*key, "pos", "rank", F.explode(F.filter("depths", lambda d: (d >= size) & (d < 2 * size))).alias("depth"))
         tail = state.select(*key, F.col("pos").alias("_p"), F.col("rank").alias("rank2"))
         here = done.withColumn("_p", F.col("pos") + F.col("depth") - size).join(tail, [*key, "_p"]) if k else done.withColumn("rank2", F.col("rank"))
-        found.append(_later(here, key))
+        # Written out round by round: one plan over all rounds, with the broadcasts of each, takes the driver's memory.
+        found.append(cut(_later(here, key)))
         if state.where(F.array_max("depths") >= 2 * size).isEmpty():
             break
         # Doubling: pairs of ranks; those that occur once are settled.

@@ -197,6 +197,17 @@ def test_maximal_runs_against_brute_force(spark):
         assert own == other and sum(len(x.split()) for x in own) >= 50 and (r["first"]["id"], f) < (r["id"], r["start"])
 
 
+def test_line_dedup_plan_does_not_grow_with_rounds(spark):
+    """Runs of 60 one-word lines take six rounds of doubling, runs of one long line take one; the plan that is left is of one size."""
+    plans = []
+    for line in ("{}", " ".join(["{}"] * 60)):
+        d = spark.createDataFrame([(i, "\n".join(line.replace("{}", f"w{n}") for n in range(60)) + f"\nown {i}") for i in range(3)], "doc_id long, text string")
+        out = line_dedup.dedup_lines(d)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString().count("Join"))
+        assert {r["doc_id"]: r["lines_removed"] for r in out.collect()} == {0: 0, 1: 60, 2: 60}
+    assert plans[0] == plans[1] == 1, plans
+
+
 def test_line_dedup_of_runs(spark):
     run = [f"line {i} has just five words" for i in range(12)]
     d = spark.createDataFrame([(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["", *run, "", "c"])), (3, "\n".join(run[3:9]))], "doc_id long, text string")
