@@ -415,7 +415,8 @@ def trained_on(docs: DataFrame, text_col: str = "text", n: int = 3000, seed: int
     net.threshold = net.of_logits(np.array([bar]))[0] if many else 0.5
     _threshold_of_long(net, n, seed, recall)
     p3 = net.probability(x3) >= net.threshold
-    kept, secret = (z >= bar if many else net.scale * z + net.shift >= 0), F.col("label") == 1
+    # Probabilities are the same from a logit of 30 on, as the scan sees them.
+    kept, secret = (z >= min(bar, (30 - net.shift) / net.scale) if many else net.scale * z + net.shift >= 0), F.col("label") == 1
     t = scored.where("fold = 3").agg(F.count("*"), F.count_if(secret), F.count_if(kept), F.count_if(kept & secret)).first()
     return _report(net, t[3] + int((p3 & (y3 == 1)).sum()), t[1] + int((y3 == 1).sum()), t[2] + int(p3.sum()), t[0] + len(y3), t[0])
 
