@@ -287,10 +287,12 @@ def spend(usage: DataFrame) -> DataFrame:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970 of a wall-clock time in any session time zone, fractions rounded to the nearest, halves to even."""
+    """Seconds since 1970 of a wall-clock time in any session time zone: microseconds over a million as a double, to the nearest, halves
+    to even. The double tells single microseconds apart until 2255 only; the SQL rounds the same one."""
     since = ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     part = lambda unit: F.extract(F.lit(unit), since)
-    return (part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + F.bround(part("SECOND"), 0).cast("long")).cast("long")
+    whole = part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    return F.rint((whole * 1000000 + (part("SECOND") * 1000000).cast("long")) / F.lit(1e6)).cast("long")
 
 
 def _usage(spark, d):

@@ -50,3 +50,25 @@ def test_breaker_state_at_fractions_of_seconds(spark, tmp_path):
 
 def test_spend_windows_at_fractions_of_seconds(spark, tmp_path):
     holds(spark, usage_events(spark, tmp_path), "spend_windows")
+
+
+def far_events(spark, folder):
+    """Pairs of calls an hour apart but for about half a second, in years whose microseconds a double does not tell apart."""
+    pairs = [(f"{year}-03-10", k, f) for year in ("0001", "2300", "9999") for k in range(1, 5) for f in range(499995, 500006)]
+    rows = [r for n, (d, k, f) in enumerate(pairs) for r in ((8000 * n + 3999, n, f"{d} 00:00:0{k}.{f}"), (8000 * n + 1001, n, f"{d} 01:00:0{k}"))]
+    return write_events(spark, folder, rows, "timestamp_ntz")
+
+
+def write_events(spark, folder, rows, kind):
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", f"cast(ts as {kind}) AS ts", "'click' AS event_type", "1.0D AS value")
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def same(spark, folder, name, n):
+    got = rows(catalog.queries()[name](spark, folder).toPandas())
+    assert got == rows(duck(folder).sql(catalog.oracle_sql()[name]).df()) and len(got) == n
+
+
+def test_breaker_state_far_from_1970(spark, tmp_path):
+    same(spark, far_events(spark, tmp_path), "breaker_state", 264)
