@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..plans import query
 from ..sources.tables import document, query_log, table, token_usage, turns
@@ -286,17 +287,20 @@ def spend(usage: DataFrame) -> DataFrame:
     return usage.withColumn("h", F.sum("c").over(w.rangeBetween(-3599, 0))).withColumn("d", F.sum("c").over(w.rangeBetween(-86399, 0)))
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970 of a wall-clock time in any session time zone: microseconds over a million as a double, to the nearest, halves
-    to even. The double tells single microseconds apart until 2255 only; the SQL rounds the same one."""
+def epoch_seconds(ts: Column, instant: bool = False) -> Column:
+    """Seconds since 1970 of a wall-clock time in any session time zone, or of an instant: microseconds over a million as a double, to the
+    nearest, halves to even. The double tells single microseconds apart until 2255 only; the SQL rounds the same one."""
     since = ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     part = lambda unit: F.extract(F.lit(unit), since)
     whole = part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60
-    return F.rint((whole * 1000000 + (part("SECOND") * 1000000).cast("long")) / F.lit(1e6)).cast("long")
+    micros = F.unix_micros(ts) if instant else whole * 1000000 + (part("SECOND") * 1000000).cast("long")
+    return F.rint(micros / F.lit(1e6)).cast("long")
 
 
 def _usage(spark, d):
-    return token_usage(spark, d).select("id", "user_id", epoch_seconds(F.col("timestamp")).alias("t"), (F.col("input_tokens") / 1000.0).alias("c"))
+    u = token_usage(spark, d)
+    t = epoch_seconds(F.col("timestamp"), u.schema["timestamp"].dataType == TimestampType())
+    return u.select("id", "user_id", t.alias("t"), (F.col("input_tokens") / 1000.0).alias("c"))
 
 
 @query(_SPEND + " SELECT id, CAST(round(h, 3) AS DOUBLE) AS hour, CAST(round(d, 3) AS DOUBLE) AS day FROM w")

@@ -72,3 +72,23 @@ def same(spark, folder, name, n):
 
 def test_breaker_state_far_from_1970(spark, tmp_path):
     same(spark, far_events(spark, tmp_path), "breaker_state", 264)
+
+
+def test_spend_windows_far_from_1970(spark, tmp_path):
+    same(spark, far_events(spark, tmp_path), "spend_windows", 264)
+
+
+def instant_events(spark, folder):
+    """Instants around the hours that New York skips and repeats: a gap on its clocks is longer or shorter than the time between."""
+    times = ["2024-03-10 06:30:00.5Z", "2024-03-10 07:10:00Z", "2024-03-11 06:45:00Z", "2024-11-03 05:30:00.5Z", "2024-11-03 06:40:00Z", "2024-11-04 05:45:00Z", None]
+    return write_events(spark, folder, [(4000 * n + 1500 + 300 * n, u, t) for u in (1, 2) for n, t in enumerate(times, 10 * u)], "timestamp")
+
+
+@pytest.mark.parametrize("name", ["spend_windows", "breaker_state"])
+def test_windows_of_instants_where_clocks_change(spark, tmp_path, name):
+    folder, was = instant_events(spark, tmp_path), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        same(spark, folder, name, 14)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
